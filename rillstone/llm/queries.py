@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .langid import op6_language_id
 from .packing import op2_best_fit_packing
 from .simhash import op7_simhash
 from .tokenfile import op5_token_file
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op5_token_file": op5_token_file, "op7_simhash": op7_simhash}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op5_token_file": op5_token_file, "op6_language_id": op6_language_id, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}
