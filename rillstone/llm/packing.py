@@ -39,8 +39,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
         enc = encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part, rows = batch.slice(at, 500), []
+            for at in range(0, len(batch), 1000):
+                part, rows = batch.slice(at, 1000), []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for d, c, ids in zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), enc.encode(texts), strict=True):
                     ids = np.concatenate((ids, end))

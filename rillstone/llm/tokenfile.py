@@ -142,8 +142,8 @@ def write_shards(docs: DataFrame, folder: str, shards: int, end_id: int = END_ID
         store.create_dir(inner, recursive=True)
         name, out, keys, ends, total = f"{shard:06d}-{uuid.uuid4().hex}.ids", None, [], [], 0
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
                 if out is None:
                     out = store.open_output_stream(f"{inner}/{name}")
                     out.write(MAGIC)

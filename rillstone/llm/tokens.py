@@ -1,25 +1,49 @@
 """Exact ids of a byte-level BPE tokenizer, a few times faster than encoding each text by itself.
 
-Merges never cross the borders of pre-tokens, so a text's ids are its pieces' ids in turn. The library encodes every
-distinct piece once per batch of texts or finds it in a bounded cache of the worker process.
+Merges never cross the borders of pre-tokens, so a text's ids are its pre-tokens' ids in turn. A blank between two other
+characters that are not white space begins a pre-token, so texts are split at blanks, chunks into pre-tokens, and the
+library encodes every distinct pre-token unless it is in a bounded cache of the worker process.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker process keeps; when there are more, it starts anew.
-CACHE_PIECES = 400_000
+#: Marks that are a pre-token by themselves at the end of a chunk.
+MARKS = ",.;:!?"
+#: Entries in the newer half of each of a worker process's caches; when it is full, it becomes the older half.
+CACHE_ENTRIES = 300_000
 #: The pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_TWO_SPACES = re.compile(r"\s\s")
+
+
+class _Cache:
+    """A dict ``newer`` that becomes the older half when it is full; what is still in use comes back from there."""
+
+    def __init__(self):
+        self.newer: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def rotate(self) -> None:
+        if len(self.newer) > CACHE_ENTRIES:
+            self.newer, self.older = {}, self.newer
+
+    def absent(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are not in the cache; the others are in ``newer`` after this."""
+        missing = keys.difference(self.newer)
+        known = [x for x in missing if x in self.older]
+        self.newer.update((x, self.older[x]) for x in known)
+        return list(missing.difference(known))
 
 
 class PieceEncoder:
@@ -28,32 +52,87 @@ class PieceEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.chunks = _Cache(), _Cache()
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how the vocabulary writes it
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+
+    def _ids(self, pre_tokens: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(pre_tokens), 10_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pre_tokens[at : at + 10_000], add_special_tokens=False)]
+            flat, end = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+            for own in ids:
+                begin, end = end, end + 4 * len(own)
+                yield flat[begin:end]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a blank before it. Of its ids only the first begins with the blank, so many words are encoded at a time."""
+        if not words:
+            return []
+        texts = [" " + " ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
+        flat, begins = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+        return [flat[lo:hi] for lo, hi in zip(begins, [*begins[1:], len(flat)], strict=True)]
+
+    def _learn_words(self, words: set[str]) -> None:
+        """Sees to it that ``self.chunks.newer`` has these words, each with the blank before it."""
+        new = self.chunks.absent(words)
+        self.chunks.newer.update(zip(new, self._word_ids(new), strict=True))
+
+    def _join(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens."""
+        distinct = {piece for pieces in split for piece in pieces}
+        self._learn_words({x[1:] for x in distinct if x[0] == " " and x[1:].isalpha()})
+        others = self.pieces.absent({x for x in distinct if not (x[0] == " " and x[1:].isalpha())})
+        self.pieces.newer.update(zip(others, self._ids(others), strict=True))
+        words, get = self.chunks.newer, self.pieces.newer.__getitem__
+        return [b"".join([words[x[1:]] if x[0] == " " and x[1:].isalpha() else get(x) for x in pieces]) for pieces in split]
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        """The same of what stands between two blanks, with the blank before it; None where pre-tokens may cross its ends."""
+        new = self.chunks.absent(set(chunks))
+        words = {x for x in new if x.isalpha()}  # one pre-token each
+        ended = [x for x in new if x[-1:] in self.marks and x[:-1].isalpha()]  # two
+        self._learn_words(words.union(x[:-1] for x in ended))
+        known = self.chunks.newer
+        known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in ended)
+        safe = lambda x: x and not x[0].isspace() and not x[-1].isspace() and not any(s in x for s in self.specials)
+        mixed = [x for x in new if x not in known and safe(x)]
+        known.update(zip(mixed, self._join([PRE_TOKEN.findall(" " + x) for x in mixed]), strict=True))
+        known.update((x, None) for x in new if x not in known)
 
-    def _split(self, text: str) -> list[str] | None:
-        """Pieces at whose borders a pre-token ends for certain; None where only the whole text is safe to encode."""
-        if any(s in text for s in self.specials):
-            return None
-        if _TWO_SPACES.search(text):
-            return PRE_TOKEN.findall(text)
-        first, *rest = text.split(" ")  # every blank stands between two other characters, or at an end
-        return ([first] if first else []) + [" " + x for x in rest]
+    def _whole(self, text: str) -> bytes:
+        if any(s in text for s in self.specials):  # a special token in a text crosses pre-tokens
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._join([PRE_TOKEN.findall(text)])[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids for each text."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        split = [self._split(t) for t in texts]
-        new = list({x for pieces in split if pieces for x in pieces if x not in self.pieces})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.pieces[x] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.pieces.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, pieces)), dtype="<u4") if pieces is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            for text, pieces in zip(texts, split, strict=True)
-        ]
+        if not texts:
+            return []
+        self.chunks.rotate()
+        self.pieces.rotate()
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        at, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        self._learn_chunks(chunks)
+        table = list(map(self.chunks.newer.__getitem__, chunks))
+        unsafe = np.zeros(len(table) + len(texts), bool)
+        unsafe[[i for i, x in enumerate(table) if x is None]] = True
+        heads = [chunks[i] for i in at[first[:-1]].tolist()]  # a text's first chunk has no blank before it
+        unsafe[len(chunks) :] = [x[-1:].isspace() or any(s in x for s in self.specials) for x in heads]
+        table += self._join([PRE_TOKEN.findall(x) for x in heads])
+        at[first[:-1]] = len(chunks) + np.arange(len(texts))
+        sizes = np.fromiter((len(x) // 4 if x else 0 for x in table), np.int64, len(table))
+        ids = np.frombuffer(b"".join(x for x in table if x), "<u4")
+        take, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.cumsum(take)
+        flat = ids[np.repeat(begin - (ends - take), take) + np.arange(int(ends[-1]))]
+        bounds = np.concatenate(([0], ends))[first]
+        redo = np.logical_or.reduceat(unsafe[at], first[:-1])
+        return [np.frombuffer(self._whole(t), "<u4") if r else flat[lo:hi] for t, r, lo, hi in zip(texts, redo.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @cache
