@@ -10,6 +10,9 @@ from rillstone.session import checkpointed, shared_dir
 __all__ = ["checkpointed", "documents", "ranked", "shared_dir", "small"]
 
 
+BROADCAST_STARTS = 100_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -18,7 +21,8 @@ def ranked(df: DataFrame, group: str, key: Column, out: str, salts: int = 1024)
     """Adds ``out``, a number from 0 without gaps for each row of a group, in an order that ``key`` fixes.
 
     A group may hold most of the rows: rows are numbered within (group, salt), the salt being a hash of
-    ``key``, and the counts of lower salts are added. Null groups are a group.
+    ``key``, and the counts of lower salts are added. Null groups are a group. The starts of the salts are broadcast
+    up to ``BROADCAST_STARTS`` rows and joined by shuffle beyond that.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     before = Window.partitionBy(group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -26,7 +30,7 @@ def ranked(df: DataFrame, group: str, key: Column, out: str, salts: int = 1024)
     starts = starts.select(F.col(group).alias("_g"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(group, "_salt").orderBy(key)
     numbered = salted.withColumn("_row", F.row_number().over(within))
-    joined = numbered.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_salt") == F.col("_s")))
+    joined = numbered.join(F.broadcast(starts) if small(starts, BROADCAST_STARTS) else starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_salt") == F.col("_s")))
     return joined.withColumn(out, F.col("_start") + F.col("_row") - 1).drop("_salt", "_g", "_s", "_start", "_row")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .native import let, packed, same_high, unpacked, words
 
-K, TUPLE, BINS, CUT = 3, 2, 64, 16
+K, TUPLE, BINS, CUT = 2, 2, 64, 16
 #: (least number of characters, rounds)
 ROUNDS = ((2048, 1), (512, 4), (128, 16), (0, 64))
 #: Ranges of ids for the search of next documents.

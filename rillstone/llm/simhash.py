@@ -130,13 +130,13 @@ def links(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
-    """(fp, component_id): for every distinct fingerprint the smallest document id reachable over links."""
+    """(fp, root, component_id): for every distinct fingerprint its component, and the smallest document id in that."""
     values = checkpointed(docs.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("least")))
     roots = connected_components(links(values.select("fp"))).withColumnRenamed("node", "fp")
     rooted = values.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = checkpointed(rooted)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -145,6 +145,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
     return marked.join(components(marked).withColumnRenamed("fp", "fingerprint"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def representatives(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (any id comes before null), then of the least hash of id and text."""
+    rows = docs.withColumn("_row", F.xxhash64(doc_id, text))
+    marked = checkpointed(with_fingerprint(rows.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).drop("text"))
+    rooted = marked.join(components(marked).withColumnRenamed("fp", "fingerprint"), "fingerprint")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir), words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
