@@ -1,4 +1,108 @@
-"""Queries over the batch log, and the SQL they are held against."""
+"""Queries over a batch log made of ``events``, and the SQL they are held against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+Every query publishes a log to a folder of its own and reads it back. 100 events are a batch, committed in ascending order.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillstone.session import shared_dir
+from rillstone.sources.log import Log, Options
+from rillstone.streaming.log_stream import register
+
+PER_BATCH = 100
+SEGMENT_BYTES = 4096
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that executors and the driver share; the manifest needs a file system that the driver can open."""
+    return tempfile.mkdtemp(prefix="log-", dir=_local(shared_dir(spark)))
+
+
+def _local(url: str) -> str:
+    import os
+    from urllib.parse import urlparse
+
+    path = urlparse(url).path
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def published(spark: SparkSession, sf_dir: str, committed: Callable[[int], bool] = lambda batch: True) -> Log:
+    """A log of ``events``; batches that ``committed`` refuses stay staged."""
+    log = Log.open(spark, _folder(spark), Options(SEGMENT_BYTES))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select((F.floor(F.col("event_id") / PER_BATCH) + 1).alias("batch"), (F.col("event_id") % PER_BATCH).cast("int").alias("ord"), F.encode("props", "utf-8").alias("record"))
+    staged = log.append_all(rows)
+    log.commit_all(staged[b] for b in sorted(staged) if committed(b))
+    return log
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("record", F.decode("record", "utf-8"))
+
+
+def scan_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(published(spark, sf_dir).scan(4))
+
+
+def read_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(published(spark, sf_dir).read(3))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir).segments_frame()
+
+
+def uncommitted_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(published(spark, sf_dir, lambda batch: batch % 2 == 0).scan())
+
+
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir).batches().select("seq", "n_records", "n_bytes")
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log through Structured Streaming, written to Parquet and read."""
+    log = published(spark, sf_dir)
+    register(spark)
+    out = _folder(spark)
+    stream = spark.readStream.format("batch_log").option("path", str(log.folder)).option("start", 2).load()
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return _shown(spark.read.schema("seq long, ord int, record binary").parquet(f"{out}/rows"))
+
+
+def stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = published(spark, sf_dir).stat()
+    return spark.createDataFrame([(s["segments"], s["batches"], s["first_seq"], s["last_seq"])], "segments long, batches long, first_seq long, last_seq long")
+
+
+QUERIES = {f.__name__: f for f in (scan_from, read_one, segments, uncommitted_hidden, batch_sizes, stream_replay, stat)}
+
+_ROWS = f"SELECT event_id // {PER_BATCH} + 1 AS batch, CAST(event_id % {PER_BATCH} AS INTEGER) AS ord, props AS record FROM events"
+_SIZES = f"SELECT batch AS seq, count(*) AS n_records, CAST(sum(octet_length(encode(record))) AS BIGINT) AS n_bytes FROM ({_ROWS}) GROUP BY batch"
+_SEGMENTS = f"""
+    WITH RECURSIVE sizes AS ({_SIZES}),
+    rolled AS (
+        SELECT seq, n_bytes AS filled, CAST(0 AS BIGINT) AS segment_id FROM sizes WHERE seq = 1
+        UNION ALL
+        SELECT s.seq, CASE WHEN r.filled + s.n_bytes <= {SEGMENT_BYTES} THEN r.filled + s.n_bytes ELSE s.n_bytes END,
+               r.segment_id + CASE WHEN r.filled + s.n_bytes <= {SEGMENT_BYTES} THEN 0 ELSE 1 END
+        FROM rolled r JOIN sizes s ON s.seq = r.seq + 1
+    )
+    SELECT segment_id, min(seq) AS first_seq, max(seq) AS last_seq FROM rolled GROUP BY segment_id
+"""
+ORACLE_SQL = {
+    "scan_from": f"SELECT batch AS seq, ord, record FROM ({_ROWS}) WHERE batch >= 4",
+    "read_one": f"SELECT ord, record FROM ({_ROWS}) WHERE batch = 3",
+    "segments": _SEGMENTS,
+    "uncommitted_hidden": f"SELECT batch // 2 AS seq, ord, record FROM ({_ROWS}) WHERE batch % 2 = 0",
+    "batch_sizes": _SIZES,
+    "stream_replay": f"SELECT batch AS seq, ord, record FROM ({_ROWS}) WHERE batch >= 2",
+    "stat": f"SELECT count(*) AS segments, (SELECT count(*) FROM ({_SIZES})) AS batches, min(first_seq) AS first_seq, max(last_seq) AS last_seq FROM ({_SEGMENTS})",
+}
