@@ -9,7 +9,7 @@ by the length in characters, so that bins hold enough k-mers for their order to
 
 All of it happens in arrays within a row: no Python, and no rows by word. The next document comes from a window within
 ranges of ids, to each of which a copy of the following range's first document is added; the ranges' borders are
-quantiles, so no single task orders all documents.
+about quantiles, so no single task orders all documents; their first ids, at most ``RANGES``, are collected.
 
 Defined results: null texts are empty. Texts without words have the empty fingerprint, which is like itself and nothing
 else. With no more than ``K`` words, all words are the one k-mer. Null ids come first, as -2**63; rows with equal ids
@@ -97,12 +97,15 @@ def with_next(docs: DataFrame, *columns: str, ranges: int = RANGES) -> DataFrame
     """``docs`` (doc_id and others) with _next, a struct of ``columns`` of the next document by id; after the last comes the first."""
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     shares = [i / ranges for i in range(1, ranges)]
-    found = keyed.agg(F.min("_id"), F.percentile_approx("_id", shares, 10 * ranges)).first()
-    firsts = sorted({found[0], *(found[1] or [])} - {None}) or [0]
-    steps = F.array(*[F.lit(1 << b) for b in range(len(firsts).bit_length() - 1, -1, -1)])
-    bounds = F.lit(firsts)  # ids that there are, one for each range
-    range_of = F.aggregate(steps, F.lit(0), lambda n, b: F.when(F.coalesce(F.get(bounds, n + b - 1) <= F.col("_id"), F.lit(False)), n + b).otherwise(n)) - 1
-    own = keyed.withColumn("_range", range_of).withColumn("_copy", F.lit(0))
+
+    def range_of(bounds: list[int]) -> Column:
+        steps = F.array(*[F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1)])
+        return F.aggregate(steps, F.lit(0), lambda n, b: F.when(F.coalesce(F.get(F.lit(bounds), n + b - 1) <= F.col("_id"), F.lit(False)), n + b).otherwise(n)) - 1
+
+    ids = keyed.select("_id")
+    about = ids.agg(F.percentile_approx("_id", shares, 10 * ranges)).first()[0] or []
+    firsts = sorted(r[0] for r in ids.groupBy(range_of(sorted({-(1 << 63), *about}))).agg(F.min("_id")).select("min(_id)").collect()) or [0]
+    own = keyed.withColumn("_range", range_of(firsts)).withColumn("_copy", F.lit(0))
     after = own.where(F.col("_id").isin(firsts)).withColumn("_range", F.pmod(F.col("_range") - 1, F.lit(len(firsts)))).withColumn("_copy", F.lit(1))
     order = Window.partitionBy("_range").orderBy("_copy", "_id", "_order")
     all_ = own.unionByName(after).withColumn("_order", F.xxhash64("text"))
