@@ -10,7 +10,8 @@ predictions cover all rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. Rows with null doc_id, null text or
 null lang are not learned from; held_out is false for a null doc_id. With a single learned language every text with a
-letter gets it, with score 1; with none, all are ``und``. Repeated rows are predicted each. Other columns are not read.
+letter gets it, with score 1; with none, all are ``und``. Repeated rows are predicted each. Other columns are kept, but
+for those named lang_pred and score.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ their own are a configuration, and more than ``MAX_SOURCES`` are refused.
 Defined results: null sources are a source. Sources that ``weights`` does not name get the mean weight of those it
 names; zero weights come last. Null and equal ids keep their rows, ordered by text. Without weights, a source's weight is
 its number of documents to the power ``alpha``. An empty table gives an empty one. All columns are kept; slot, place
-(the number in the mixture, from 0 without gaps) are added, and working columns begin with ``_mix``.
+(the number in the mixture, from 0 without gaps) are added; working columns begin with an underscore.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ then from all rows. ``FLOOR`` is added to the covariance, for statistics that ar
 Defined results: a null text has no words; it fails the base rules (under 50 words). Null languages and sources are
 groups of their own. Rows that fail the base rules take no part in the estimates. With under ``LEAST`` rows in all,
 nothing is rejected beyond the base rules. Repeated rows count each. An empty table gives an empty one. Other columns
-are not read. Windows are compared by 64-bit hashes of their words.
+are kept, but for those with the names of results; working columns begin with an underscore. Windows are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, documents, small
 from .native import BLANKS, let, packed, same_high, unpacked, words
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "distance", "kept")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 KEEP, STEPS, LEAST = 0.75, 4, 100
@@ -63,7 +64,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     counted = docs.withColumn("_t", t).withColumn("_of", let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("repeat"))))
     counted = counted.withColumn("_lines", let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("distinct"))))
     counted = counted.select(
-        *[c for c in docs.columns if c != text],
+        *[c for c in docs.columns if c not in (text, *COUNTS)],
         F.col("_of.n").alias("n_words"),
         F.length(F.translate("_t", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),

@@ -102,8 +102,11 @@ def links(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) between the values of the distinct column ``fp`` that connect all pairs within the radius.
 
     Buckets of up to ``bucket`` values are compared within; the members of larger ones get longer keys from the masks
-    that cover the positions their bucket leaves free, until 2**free <= bucket bounds every bucket.
+    that cover the positions their bucket leaves free, until 2**free <= bucket bounds every bucket. ``bucket`` is 256 at
+    least: eight or more free positions have vectors of full rank, so every new key is longer.
     """
+    if bucket < BUCKET:
+        raise ValueError(f"bucket must be {BUCKET} at least")
     spark = fingerprints.sparkSession
     masks, edges, level = [0], None, 0
     rows = fingerprints.select("fp", F.lit(0).cast("long").alias("mask"))
