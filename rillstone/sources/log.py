@@ -107,11 +107,12 @@ class Log:
     def append_all(self, rows: DataFrame) -> dict[int, Batch]:
         """Stages one batch for each value of ``batch`` in rows of (batch, ord, record), by one job; the handles by that value.
 
-        The driver holds a handle for each batch. ``ord`` gives the order within a batch.
+        The driver holds a handle for each batch. ``ord`` gives the order within a batch. Rows are brought together by
+        batch; a batch with a large share of the rows is split over several tasks and files.
         """
         target = self._new_path()
         if not rows.isEmpty():
-            rows.select(F.col("batch").cast("long"), F.col("ord").cast("int"), F.col("record").cast("binary")).repartition("batch").write.partitionBy("batch").parquet(str(target))
+            rows.select(F.col("batch").cast("long"), F.col("ord").cast("int"), F.col("record").cast("binary")).hint("rebalance", "batch").write.partitionBy("batch").parquet(str(target))
         else:
             target.mkdir(parents=True)
         if not any(target.glob("batch=*")):
