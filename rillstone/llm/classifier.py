@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, small
+from .common import checkpointed, documents, small, text_batches
 
 #: The bound of the sample that is learned from, in rows.
 SAMPLE = 4000
@@ -116,6 +116,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
     p_site is the path's posterior without the document itself; score is the probability that the document is good.
     """
+    text_batches(docs.sparkSession)
     y = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").cast("double").alias("y"))
     weights, rate = learn(docs, y, sample)
     shared = docs.sparkSession.sparkContext.broadcast(weights)

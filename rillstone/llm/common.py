@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillstone.session import checkpointed, shared_dir
 
-__all__ = ["checkpointed", "documents", "ranked", "shared_dir", "small"]
+__all__ = ["checkpointed", "documents", "ranked", "shared_dir", "small", "text_batches"]
 
 
 BROADCAST_STARTS = 100_000
@@ -34,6 +34,13 @@ def ranked(df: DataFrame, group: str, key: Column, out: str, salts: int = 1024)
     return joined.withColumn(out, F.col("_start") + F.col("_row") - 1).drop("_salt", "_g", "_s", "_start", "_row")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends whole texts to Python workers in Arrow batches of so many rows, unless the session has a setting of its own; 10,000 texts at a time would cost each worker hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most so many rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows

@@ -21,26 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, ranked
-from .tokens import encoder
+from .common import checkpointed, documents, ranked, text_batches
+from .tokens import CACHE_ENTRIES, encoder
 
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of every document: doc_id, copy (a number that tells rows apart), piece, start, length, ids_crc32, and ids if asked for. start counts ids of the same document."""
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
+    """The pieces of every document: doc_id, copy (a number that tells rows apart), piece, start, length, ids_crc32, and ids if asked for. start counts ids of the same document. ``cache`` is for each worker process, in entries."""
 
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     schema = schema.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache)
         end = np.array([end_id], "<u4")
+        at_once = 1000 if cache >= CACHE_ENTRIES else 250
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part, rows = batch.slice(at, 1000), []
+            for at in range(0, len(batch), at_once):
+                part, rows = batch.slice(at, at_once), []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for d, c, ids in zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), enc.encode(texts), strict=True):
                     ids = np.concatenate((ids, end))
@@ -49,7 +50,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                         own = ids[lo : first + k * capacity]
                         rows.append((d, c, k, lo, len(own), zlib.crc32(own), *([own.astype(np.int32)] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if cache < CACHE_ENTRIES:  # asked to be small: the worker process lives on with other tasks
+            encoder.cache_clear()
 
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text).alias("text"))
     return chosen.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
@@ -161,9 +165,9 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.withColumn("_place", place("length", "_number")).select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, cache: int = CACHE_ENTRIES) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
-    pieces = checkpointed(token_pieces(docs, capacity, end_id, tokenizer, with_ids))
+    pieces = checkpointed(token_pieces(docs, capacity, end_id, tokenizer, with_ids, cache=cache))
     return assign(pieces, capacity).drop("copy")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import checkpointed, documents
+from .common import checkpointed, documents, text_batches
 from .components import connected_components
 
 RADIUS = 3
@@ -58,6 +58,7 @@ def with_fingerprint(docs: DataFrame, words: int, text: str = "text", out: str =
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(t, words) for t in texts], dtype="int64")
 
+    text_batches(docs.sparkSession)
     return docs.withColumn(out, fingerprint(F.col(text)))
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, small
+from .common import checkpointed, documents, small, text_batches
 
 LENGTH = 400
 GRAM = 48
@@ -416,6 +416,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast: int = BROADCAST, group: int = GROUP) -> DataFrame:
     """A row for each document: doc_id, n_bytes, spans (flat byte ranges that go), kept (the other bytes)."""
+    text_batches(docs.sparkSession)
     texts = _keyed(docs, doc_id, text)
     spans = repeated_windows(texts, broadcast, group)
 

@@ -30,12 +30,13 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 class _Cache:
     """A dict ``newer`` that becomes the older half when it is full; what is still in use comes back from there."""
 
-    def __init__(self):
+    def __init__(self, entries: int):
+        self.entries = entries
         self.newer: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
     def rotate(self) -> None:
-        if len(self.newer) > CACHE_ENTRIES:
+        if len(self.newer) > self.entries:
             self.newer, self.older = {}, self.newer
 
     def absent(self, keys: set[str]) -> list[str]:
@@ -49,10 +50,10 @@ class _Cache:
 class PieceEncoder:
     """Encodes whole texts with the tokenizer file at ``path``, without special tokens being added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.chunks = _Cache(), _Cache()
+        self.pieces, self.chunks = _Cache(entries), _Cache(entries)
         self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
         blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how the vocabulary writes it
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -66,14 +67,14 @@ class PieceEncoder:
                 begin, end = end, end + 4 * len(own)
                 yield flat[begin:end]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+    def _word_ids(self, words: list[str]) -> Iterator[bytes]:
         """The ids of each word with a blank before it. Of its ids only the first begins with the blank, so many words are encoded at a time."""
-        if not words:
-            return []
-        texts = [" " + " ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
-        flat, begins = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
-        return [flat[lo:hi] for lo, hi in zip(begins, [*begins[1:], len(flat)], strict=True)]
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            texts = [" " + " ".join(some[i : i + 200]) for i in range(0, len(some), 200)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
+            flat, begins = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+            yield from (flat[lo:hi] for lo, hi in zip(begins, [*begins[1:], len(flat)], strict=True))
 
     def _learn_words(self, words: set[str]) -> None:
         """Sees to it that ``self.chunks.newer`` has these words, each with the blank before it."""
@@ -136,6 +137,6 @@ class PieceEncoder:
 
 
 @cache
-def encoder(path: str | None = None) -> PieceEncoder:
-    """The worker process's encoder for a tokenizer file; by default the 50k byte-level BPE."""
-    return PieceEncoder(path or public_tokenizers.path(VOCABULARY))
+def encoder(path: str | None = None, entries: int = CACHE_ENTRIES) -> PieceEncoder:
+    """The worker process's encoder for a tokenizer file; by default the 50k byte-level BPE. A smaller cache takes less memory and more time."""
+    return PieceEncoder(path or public_tokenizers.path(VOCABULARY), entries)
