@@ -50,8 +50,6 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                         own = ids[lo : first + k * capacity]
                         rows.append((d, c, k, lo, len(own), zlib.crc32(own), *([own.astype(np.int32)] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        if cache < CACHE_ENTRIES:  # asked to be small: the worker process lives on with other tasks
-            encoder.cache_clear()
 
     text_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text).alias("text"))

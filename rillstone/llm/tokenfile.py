@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, shared_dir
+from .common import checkpointed, documents, shared_dir, text_batches
 from .tokens import encoder
 
 MAGIC = b"IDSHARD1"
@@ -165,6 +165,7 @@ def write_shards(docs: DataFrame, folder: str, shards: int, end_id: int = END_ID
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([shard], [f"{folder}/{name}"], [len(row_keys)], [total]), schema, strict=True)], schema=schema)
 
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return checkpointed(ordered.mapInArrow(write, MANIFEST))
@@ -205,7 +206,7 @@ def write_and_read(docs: DataFrame, shards: int | None = None, folder: str | Non
     manifest = write_shards(docs, folder, shards or int(spark.conf.get("spark.sql.shuffle.partitions")), end_id, tokenizer)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
-    found = read_shards(manifest).join(starts, "shard")
+    found = read_shards(manifest).join(F.broadcast(starts), "shard")  # a row for each shard, as many as partitions were asked for
     return found.select("doc_id", (F.col("_before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 
