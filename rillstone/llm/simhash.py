@@ -10,6 +10,8 @@ Defined results: null and empty texts, and texts without words, have fingerprint
 words than a shingle: the whole sequence is the one shingle. Equal fingerprints always link. Null ids are kept;
 they never are a component's id, and a component without any id has null. Repeated rows stay repeated. An empty table
 gives an empty one. Other columns, of whatever name, are not read.
+
+Three bits are no similarity of 0.8, so ``representatives`` does not go by fingerprints but by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import nearsets
 from .common import checkpointed, documents, text_batches
 from .components import connected_components
+from .nearsets import shingles
 
 RADIUS = 3
 #: Fingerprints of a bucket that one task compares; a larger bucket is split by further covering masks.
@@ -34,19 +37,10 @@ BUCKET = 256
 
 def simhash(text: str | None, words: int) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    found = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six white-space bytes only
-    if not found:
+    values = shingles(text, words)
+    if not len(values):
         return 0
-    joined = b" ".join(found)
-    if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
     bits = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype="<u8")
     for at in range(0, len(values), 1 << 16):
         part = values[at : at + (1 << 16)]
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -150,10 +144,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
 
 
 def representatives(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (any id comes before null), then of the least hash of id and text."""
+    """``docs`` with one row of each group of texts whose shingle sets have a Jaccard similarity of 0.8 or more, directly or over others
+    (see ``nearsets``): that of the smallest id (any id comes before null), then of the least hash of id and text."""
     rows = docs.withColumn("_row", F.xxhash64(doc_id, text))
-    marked = checkpointed(with_fingerprint(rows.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).drop("text"))
-    rooted = marked.join(components(marked).withColumnRenamed("fp", "fingerprint"), "fingerprint")
+    marked = checkpointed(nearsets.with_sets(rows.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).drop("text"))
+    roots = connected_components(nearsets.links(marked)).withColumnRenamed("node", "digest")
+    rooted = marked.select("_row", "doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     return rows.join(kept.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
