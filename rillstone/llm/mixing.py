@@ -3,13 +3,14 @@
 Documents of a source, in an order that a hash of the id fixes, form blocks. With a weight of n/Q, block i of a source
 (from 0) may take no slot before floor(i Q/n) and none after ceil((i+1) Q/n) - 1; earliest deadline first among the
 released blocks gives every slot its source. With weights that add up to one this meets all deadlines, so at every slot
-each source has had its share to within less than one block. Weights are rounded to multiples of 1/Q, so the schedule
-repeats every Q slots: one period is worked out on the driver, and a document's slot follows from its number by
-arithmetic, whatever the number of documents.
+each source has had its share to within less than one block. Weights are taken as they are, as whole
+numbers of 2**-128, so there is no rounding that grows with the input.
 
 No document is dropped or repeated: when a source ends, the others go on at the weights that are left, as a new phase.
-Phases are at most two for each source. What the driver holds is a row for each source and phase; sources with weights of
-their own are a configuration, and more than ``MAX_SOURCES`` are refused.
+Phases are at most one for each source, and the share holds within each. The driver works out the slots of all blocks and
+broadcasts them: 8 bytes for 16 documents. A ``period`` instead rounds weights to multiples of 1/period with one at least,
+repeats one period and holds no more than that, but the deviation then grows with the number of periods. More than
+``MAX_SOURCES`` sources are refused.
 
 Defined results: null sources are a source. Sources that ``weights`` does not name get the mean weight of those it
 names; zero weights come last. Null and equal ids keep their rows, ordered by text. Without weights, a source's weight is
@@ -20,6 +21,7 @@ its number of documents to the power ``alpha``. An empty table gives an empty on
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, ranked
 
 BLOCK = 16
-PERIOD = 1000
+SCALE = 1 << 128
 MAX_SOURCES = 10_000
 
 
@@ -63,15 +65,48 @@ def schedule(parts: list[int]) -> list[int]:
     return out
 
 
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> pd.DataFrame:
+def exact(weights: list[float]) -> list[int]:
+    """Positive whole numbers in proportion to the weights that add up to ``SCALE``."""
+    total = sum(map(Fraction, weights))
+    out = [max(1, int(Fraction(w) / total * SCALE)) for w in weights]
+    out[out.index(max(out))] += SCALE - sum(out)
+    return out
+
+
+def until_one_ends(parts: list[int], blocks: list[int]) -> list[int]:
+    """The source of each slot by weights of parts / sum(parts), up to the last block of the source that ends first."""
+    total = sum(parts)
+    waiting = [(0, -(-total // n), i, 0) for i, n in enumerate(parts)]  # release, deadline, source, block
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    out: list[int] = []
+    while True:
+        while waiting and waiting[0][0] <= len(out):
+            _, deadline, i, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, i, block))
+        _, i, block = heapq.heappop(ready)
+        out.append(i)
+        if block + 1 == blocks[i]:
+            return out
+        n = parts[i]
+        heapq.heappush(waiting, ((block + 1) * total // n, -(-(block + 2) * total // n), i, block + 1))
+
+
+def phases(blocks: list[int], weights: list[float], period: int | None = None) -> pd.DataFrame:
     """Entries (source, first, every, base, period, slots): blocks of the source from ``first`` on, ``every`` a period,
     take slot base + (k // every) * period + slots[k % every], k being the block's number from ``first``."""
     left, used, base, rows = list(blocks), [0] * len(blocks), 0, []
     while active := [i for i in range(len(blocks)) if left[i]]:
         heavy = [i for i in active if weights[i] > 0] or active
-        parts = shares([weights[i] if weights[i] > 0 else 1.0 for i in heavy], period)
-        order = np.array(schedule(parts))
-        rounds = min(left[i] // n for i, n in zip(heavy, parts, strict=True))
+        own_weights = [weights[i] if weights[i] > 0 else 1.0 for i in heavy]
+        if len(heavy) == 1:
+            order, rounds = np.zeros(1, np.int64), left[heavy[0]]
+        elif period is None:
+            order, rounds = np.array(until_one_ends(exact(own_weights), [left[i] for i in heavy])), 1
+        else:
+            parts = shares(own_weights, period)
+            order = np.array(schedule(parts))
+            rounds = min(left[i] // n for i, n in zip(heavy, parts, strict=True))
         own = [np.flatnonzero(order == k) for k in range(len(heavy))]
         if rounds == 0:  # a last period in which a source ends; slots it leaves empty are closed up
             own = [x[: left[i]] for x, i in zip(own, heavy, strict=True)]
@@ -80,14 +115,15 @@ def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> pd.
         length = sum(map(len, own))
         for i, x in zip(heavy, own, strict=True):
             n = len(x) * max(rounds, 1)
-            rows.append((i, used[i], len(x), base, length, x.tolist()))
+            if n:
+                rows.append((i, used[i], len(x), base, length, x))
             used[i] += n
             left[i] -= n
         base += length * max(rounds, 1)
     return pd.DataFrame(rows, columns=["source", "first", "every", "base", "period", "slots"])
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = BLOCK, period: int = PERIOD, source: str = "source", doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = BLOCK, period: int | None = None, source: str = "source", doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
     """``docs`` with slot and place. ``text`` names a column that orders rows with equal ids."""
     counts = sorted((r[0] is not None, r[0], r[1]) for r in docs.groupBy(F.col(source).cast("string")).count().limit(MAX_SOURCES + 1).collect())
     if len(counts) > MAX_SOURCES:
@@ -109,7 +145,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
 
     short = sorted((slot_of(i, b - 1), b * block - n) for i, (b, n) in enumerate(zip(blocks, sizes, strict=True)) if b * block > n)
     gaps = [int(s) for s, _ in short], np.concatenate(([0], np.cumsum([g for _, g in short], dtype=np.int64)))
-    entries = {i: [x.to_numpy() for x in (g["first"], g["every"], g["base"], g["period"])] + [g["slots"].map(np.array).tolist()] for i, g in table.groupby("source")}
+    entries = {i: [x.to_numpy() for x in (g["first"], g["every"], g["base"], g["period"])] + [g["slots"].tolist()] for i, g in table.groupby("source")}
     shared = docs.sparkSession.sparkContext.broadcast(({x: i for i, x in enumerate(names)}, entries, gaps))
 
     @F.pandas_udf("slot long, place long")

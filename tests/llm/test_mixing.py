@@ -62,3 +62,19 @@ def test_edge_cases(spark):
     assert mixing.mix(cases.empty(spark)).count() == 0
     last = mixing.mix(docs, {"a": 0.0, "b": 1.0, None: 1.0, "c": 1.0}, block=1).orderBy("place").collect()
     assert {r.source for r in last[-5:]} == {"a"}
+
+
+@pytest.mark.parametrize("weights", [[(1 / 3) ** 0.7] + [(1 / 30) ** 0.7] * 20, [1.0, 1e-5, 1e-3], [0.1, 0.2, 0.7]])
+def test_deviation_from_the_unrounded_weights(weights):
+    total, blocks = sum(weights), [int(20_000 * w / sum(weights)) + 2 for w in weights]
+    table = mixing.phases(blocks, weights)
+    order = {}
+    for e in table.itertuples():
+        n = blocks[e.source] - e.first if not (later := table[(table.source == e.source) & (table["first"] > e.first)]["first"].tolist()) else min(later) - e.first
+        order |= {e.base + k // e.every * e.period + e.slots[k % e.every]: e.source for k in range(n)}
+    assert sorted(order) == list(range(sum(blocks)))
+    had, end = [0] * len(weights), table["base"][table["base"] > 0].min()
+    assert end > 15_000
+    for slot in range(int(end)):
+        had[order[slot]] += 1
+        assert all(abs(n - (slot + 1) * w / total) < 1 + 1e-6 for n, w in zip(had, weights, strict=True))
