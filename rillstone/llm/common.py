@@ -17,14 +17,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ranked(df: DataFrame, group: str, key: Column, out: str, salts: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, group: str, key: Column, out: str, salts: int = 1024, salt: Column | None = None) -> DataFrame:
     """Adds ``out``, a number from 0 without gaps for each row of a group, in an order that ``key`` fixes.
 
-    A group may hold most of the rows: rows are numbered within (group, salt), the salt being a hash of
-    ``key``, and the counts of lower salts are added. Null groups are a group. The starts of the salts are broadcast
+    A group may hold most of the rows: rows are numbered within (group, salt) and the counts of lower salts are added. The salt is
+    a hash of ``key``; a ``salt`` that ascends with ``key``, such as the number of a file, makes the order that of ``key`` itself. Null groups are a group. The starts of the salts are broadcast
     up to ``BROADCAST_STARTS`` rows and joined by shuffle beyond that.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int") if salt is None else salt)
     before = Window.partitionBy(group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy(group, "_salt").agg(F.count("*").alias("_n"))
     starts = starts.select(F.col(group).alias("_g"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

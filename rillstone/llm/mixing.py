@@ -1,16 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source, in an order that a hash of the id fixes, form blocks. With a weight of n/Q, block i of a source
-(from 0) may take no slot before floor(i Q/n) and none after ceil((i+1) Q/n) - 1; earliest deadline first among the
-released blocks gives every slot its source. With weights that add up to one this meets all deadlines, so at every slot
+Documents of a source, in an order that a hash of the id fixes, form blocks. With a share w of the slots, block i of a source
+(from 0) may take no slot before floor(i / w) and none after ceil((i + 1) / w) - 1; earliest deadline first among the
+released blocks gives every slot its source. With shares that add up to one this meets all deadlines, so at every slot
 each source has had its share to within less than one block. Weights are taken as they are, as whole
 numbers of 2**-128, so there is no rounding that grows with the input.
 
-No document is dropped or repeated: when a source ends, the others go on at the weights that are left, as a new phase.
-Phases are at most one for each source, and the share holds within each. The driver works out the slots of all blocks and
-broadcasts them: 8 bytes for 16 documents. A ``period`` instead rounds weights to multiples of 1/period with one at least,
-repeats one period and holds no more than that, but the deviation then grows with the number of periods. More than
-``MAX_SOURCES`` sources are refused.
+No document is dropped or repeated: when a source ends, the others go on at the weights that are left, as a new phase,
+and the share holds within each. A block has ``BLOCK`` documents, or as many more as keep the schedule to about ``SLOTS`` blocks:
+that, and not the corpus, bounds what the driver works out and broadcasts (8 bytes a block), and a block's share of the
+corpus stays under 1 / ``SLOTS`` then. The driver's time is that number times the logarithm of the number of sources. More
+than ``MAX_SOURCES`` sources are refused.
 
 Defined results: null sources are a source. Sources that ``weights`` does not name get the mean weight of those it
 names; zero weights come last. Null and equal ids keep their rows, ordered by text. Without weights, a source's weight is
@@ -31,99 +31,65 @@ from pyspark.sql import functions as F
 from .common import documents, ranked
 
 BLOCK = 16
+SLOTS = 1 << 20
 SCALE = 1 << 128
 MAX_SOURCES = 10_000
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Positive whole numbers that add up to the period (or to more, if there are more sources), by largest remainders."""
-    period = max(period, len(weights))
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(out)]:
-        out[i] += 1
-    return out
-
-
-def schedule(parts: list[int]) -> list[int]:
-    """The source of each slot of a period of sum(parts) slots: earliest deadline first among released blocks."""
-    period = sum(parts)
-    waiting = [(0, -(-period // n), i, 0) for i, n in enumerate(parts)]  # release, deadline, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, deadline, i, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, i, block))
-        _, i, block = heapq.heappop(ready)
-        out.append(i)
-        if block + 1 < parts[i]:
-            n = parts[i]
-            heapq.heappush(waiting, ((block + 1) * period // n, -(-(block + 2) * period // n), i, block + 1))
-    return out
-
-
 def exact(weights: list[float]) -> list[int]:
     """Positive whole numbers in proportion to the weights that add up to ``SCALE``."""
+    if not weights:
+        return []
     total = sum(map(Fraction, weights))
     out = [max(1, int(Fraction(w) / total * SCALE)) for w in weights]
     out[out.index(max(out))] += SCALE - sum(out)
     return out
 
 
-def until_one_ends(parts: list[int], blocks: list[int]) -> list[int]:
-    """The source of each slot by weights of parts / sum(parts), up to the last block of the source that ends first."""
-    total = sum(parts)
-    waiting = [(0, -(-total // n), i, 0) for i, n in enumerate(parts)]  # release, deadline, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out: list[int] = []
-    while True:
-        while waiting and waiting[0][0] <= len(out):
-            _, deadline, i, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, i, block))
-        _, i, block = heapq.heappop(ready)
-        out.append(i)
-        if block + 1 == blocks[i]:
-            return out
-        n = parts[i]
-        heapq.heappush(waiting, ((block + 1) * total // n, -(-(block + 2) * total // n), i, block + 1))
-
-
-def phases(blocks: list[int], weights: list[float], period: int | None = None) -> pd.DataFrame:
-    """Entries (source, first, every, base, period, slots): blocks of the source from ``first`` on, ``every`` a period,
-    take slot base + (k // every) * period + slots[k % every], k being the block's number from ``first``."""
-    left, used, base, rows = list(blocks), [0] * len(blocks), 0, []
-    while active := [i for i in range(len(blocks)) if left[i]]:
-        heavy = [i for i in active if weights[i] > 0] or active
-        own_weights = [weights[i] if weights[i] > 0 else 1.0 for i in heavy]
-        if len(heavy) == 1:
-            order, rounds = np.zeros(1, np.int64), left[heavy[0]]
-        elif period is None:
-            order, rounds = np.array(until_one_ends(exact(own_weights), [left[i] for i in heavy])), 1
-        else:
-            parts = shares(own_weights, period)
-            order = np.array(schedule(parts))
-            rounds = min(left[i] // n for i, n in zip(heavy, parts, strict=True))
-        own = [np.flatnonzero(order == k) for k in range(len(heavy))]
-        if rounds == 0:  # a last period in which a source ends; slots it leaves empty are closed up
-            own = [x[: left[i]] for x, i in zip(own, heavy, strict=True)]
-            slots = np.sort(np.concatenate(own))
-            own = [np.searchsorted(slots, x) for x in own]
-        length = sum(map(len, own))
-        for i, x in zip(heavy, own, strict=True):
-            n = len(x) * max(rounds, 1)
-            if n:
-                rows.append((i, used[i], len(x), base, length, x))
-            used[i] += n
-            left[i] -= n
-        base += length * max(rounds, 1)
-    return pd.DataFrame(rows, columns=["source", "first", "every", "base", "period", "slots"])
-
-
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int = BLOCK, period: int | None = None, source: str = "source", doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
+def earliest_deadline_first(parts: list[int], blocks: list[int]) -> np.ndarray:
+    """The source of each slot, until all have had all their blocks.
+
+    At the start of a phase all first blocks are released, and their deadlines ascend as the weights descend; so those come from one
+    list that all phases share, and a phase costs no more than its slots.
+    """
+    by_weight = sorted(range(len(parts)), key=lambda i: (-parts[i], i))  # decides between equal deadlines
+    parts, left = [parts[i] for i in by_weight], [blocks[i] for i in by_weight]
+    out, at = np.empty(sum(left), np.int32), 0
+    active = [i for i, n in enumerate(left) if n]
+    total = sum(parts[i] for i in active)
+    while len(active) > 1:
+        base, begun = at, 0
+        waiting: list[tuple[int, int, int, int]] = []  # release, deadline, source, block of the phase
+        ready: list[tuple[int, int, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= at - base:
+                heapq.heappush(ready, heapq.heappop(waiting)[1:])
+            new = (-(-total // parts[active[begun]]), active[begun], 0) if begun < len(active) else None
+            if new and (not ready or new < ready[0]):
+                begun += 1
+                _, i, k = new
+            else:
+                _, i, k = heapq.heappop(ready)
+            out[at], at, left[i] = i, at + 1, left[i] - 1
+            if not left[i]:
+                break
+            heapq.heappush(waiting, ((k + 1) * total // parts[i], -(-(k + 2) * total // parts[i]), i, k + 1))
+        active.remove(i)
+        total -= parts[i]
+    out[at:] = active or -1
+    return np.array(by_weight, np.int32)[out]
+
+
+def schedule(blocks: list[int], weights: list[float]) -> np.ndarray:
+    """The source of each slot; sources without a weight follow the others, all at the same rate."""
+    out = []
+    for own in ([i for i, w in enumerate(weights) if w > 0], [i for i, w in enumerate(weights) if w <= 0]):
+        parts = exact([weights[i] if weights[i] > 0 else 1.0 for i in own])
+        out.append(np.array(own, np.int32)[earliest_deadline_first(parts, [blocks[i] for i in own])] if own else np.zeros(0, np.int32))
+    return np.concatenate(out)
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, block: int | None = None, source: str = "source", doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
     """``docs`` with slot and place. ``text`` names a column that orders rows with equal ids."""
     counts = sorted((r[0] is not None, r[0], r[1]) for r in docs.groupBy(F.col(source).cast("string")).count().limit(MAX_SOURCES + 1).collect())
     if len(counts) > MAX_SOURCES:
@@ -134,36 +100,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     else:
         mean = sum(weights.values()) / max(len(weights), 1) or 1.0
         own = [float(weights.get(x, mean)) for x in names]
-    blocks = [-(-n // block) for n in sizes]
-    table = phases(blocks, own, period)
+    block = block or max(BLOCK, -(-sum(sizes) // SLOTS))
+    blocks = np.array([-(-n // block) for n in sizes], np.int64)
+    by_source = np.argsort(schedule(blocks.tolist(), own), kind="stable")  # the slots of the first source, then the next one's
+    ends = np.cumsum(blocks)
 
     # a source's last block may be short; places behind its slot move up
-    def slot_of(i: int, b: int) -> int:
-        e = table[(table["source"] == i) & (table["first"] <= b)].iloc[-1]
-        k = b - e["first"]
-        return int(e["base"] + k // e["every"] * e["period"] + e["slots"][k % e["every"]])
-
-    short = sorted((slot_of(i, b - 1), b * block - n) for i, (b, n) in enumerate(zip(blocks, sizes, strict=True)) if b * block > n)
-    gaps = [int(s) for s, _ in short], np.concatenate(([0], np.cumsum([g for _, g in short], dtype=np.int64)))
-    entries = {i: [x.to_numpy() for x in (g["first"], g["every"], g["base"], g["period"])] + [g["slots"].tolist()] for i, g in table.groupby("source")}
-    shared = docs.sparkSession.sparkContext.broadcast(({x: i for i, x in enumerate(names)}, entries, gaps))
+    missing = blocks * block - np.array(sizes, np.int64)
+    short = by_source[ends - 1] if len(ends) else ends
+    order = np.argsort(short)
+    moved = np.concatenate(([0], np.cumsum(missing[order])))
+    shared = docs.sparkSession.sparkContext.broadcast(({x: i for i, x in enumerate(names)}, ends - blocks, by_source, short[order], moved))
 
     @F.pandas_udf("slot long, place long")
     def place(sources: pd.Series, number: pd.Series) -> pd.DataFrame:
-        index, entries, (at, moved) = shared.value
+        index, first, by_source, short, moved = shared.value
         number = number.to_numpy(np.int64)
-        slot = np.zeros(len(number), np.int64)
         codes = np.array([index[None if x is None or x != x else x] for x in sources], np.int64)
-        for i in np.unique(codes):
-            mine = np.flatnonzero(codes == i)
-            first, every, base, per, slots = entries[i]
-            b = number[mine] // block
-            e = np.searchsorted(first, b, side="right") - 1
-            for k in np.unique(e):
-                of = e == k
-                d = b[of] - first[k]
-                slot[mine[of]] = base[k] + d // every[k] * per[k] + slots[k][d % every[k]]
-        return pd.DataFrame({"slot": slot, "place": slot * block - moved[np.searchsorted(at, slot, side="left")] + number % block})
+        slot = by_source[first[codes] + number // block]
+        return pd.DataFrame({"slot": slot, "place": slot * block - moved[np.searchsorted(short, slot, side="left")] + number % block})
 
     kept = docs.drop("slot", "place")
     order = F.struct(F.col(doc_id), *([F.xxhash64(F.col(text))] if text else []))

@@ -4,10 +4,11 @@ Texts with equal sets are one node. Candidates come from MinHash: 32 bands of fo
 a bucket in common with a probability of 1 - (1 - 0.8**4)**32 = 1 - 5e-8, more similar pairs with a higher one. Every link is
 then decided by the intersection of the two sets of 64-bit shingle hashes; no pair links by its candidate key alone.
 
-What is asked for are components, so pairs that are connected already need no check. In each round a few members of every
-bucket are compared with all its members of other components, 16 times as many in every round, and leave the bucket:
-every pair of a bucket is checked or connected in the end. A large group of near copies is connected after a round or two, with
-as many pairs as members; a large group of texts that are alike to less than 0.8 costs all its pairs, in many tasks.
+What is asked for are components, so pairs that are connected already need no check. In the first round the leader of every
+bucket is compared with all its members; leaders are those of least hash, so a group of copies has the same few in most of its
+buckets and costs a few checks a member. Later rounds compare 64 times as many leaders each, as far as they are still in other
+components than the member, and leaders leave the bucket: every pair of a bucket is checked or connected in the end. A large
+group of texts that are alike to less than 0.8 costs all its pairs, in many tasks.
 
 Texts without words have the empty set, which is like itself only.
 """
@@ -26,8 +27,8 @@ from .common import checkpointed, text_batches
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
-#: Members of a bucket that the first round compares with the others.
-PIVOTS = 4
+#: By how much the number of leaders of a bucket grows from round to round, from one in the first.
+GROWTH = 64
 _draws = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _MIXED, _TIMES = _draws[0], 2 * _draws[1] + 1
 
@@ -93,23 +94,24 @@ def links(marked: DataFrame) -> DataFrame:
     left = checkpointed(each.join(shared, "bucket").withColumn("root", F.col("digest")))
     sets = marked.join(left.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members"))
     sets = checkpointed(sets)
-    edges, pivots = spark.createDataFrame([], "u long, v long"), PIVOTS
+    edges, leaders = spark.createDataFrame([], "u long, v long"), 1
+    rank = F.shiftrightunsigned(F.xxhash64("digest"), 11)  # 53 bits: the same order in all buckets
     while True:
-        open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rank).alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         left = checkpointed(left.join(open_.select("bucket", "n", "least"), "bucket"))
         if left.isEmpty():
             return edges
         # drawn by a hash, so that a large bucket needs no order; small ones are compared whole
-        drawn = (F.col("n") <= 2 * pivots) | (F.col("digest") == F.col("least")) | (F.pmod(F.xxhash64("digest", "bucket"), F.col("n")) < pivots)
-        a = left.where(drawn).select("bucket", F.col("digest").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
+        leads = (F.col("n") <= 2 * leaders) | (rank == F.col("least")) | (rank.cast("double") * F.col("n") < (leaders - 1) * 2.0**53)
+        a = left.where(leads).select("bucket", F.col("digest").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
         b = left.select("bucket", F.col("digest").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"))
         pairs = a.join(b, "bucket").where("ru <> rv and 5 * least(su, sv) >= 4 * greatest(su, sv)")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         both = pairs.join(sets.select(F.col("digest").alias("u"), F.col("members").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("members").alias("b")), "v")
         edges = checkpointed(edges.unionByName(both.mapInPandas(_checked, "u long, v long")))
-        left = left.where(~drawn).select("bucket", "digest", "size")
+        left = left.where(~leads).select("bucket", "digest", "size")
         if left.isEmpty():
             return edges
         roots = connected_components(edges).withColumnRenamed("node", "digest")
         left = left.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        pivots *= 16
+        leaders *= GROWTH

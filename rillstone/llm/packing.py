@@ -6,6 +6,10 @@ from the longest length down, each piece's gap is filled exactly by one piece, b
 it, as many times as the counts allow; what is left is packed by best fit in descending order. The plan says how many
 sequences have which lengths. A piece finds its place by its number among the pieces of its length.
 
+Documents may come in an order, such as that of a mixture. Then the kinds of sequences in the plan are interleaved evenly, and
+each length hands out its pieces in that order, so a prefix of the sequences holds about a prefix of the documents.
+Without an order, a hash decides between pieces of a length.
+
 Defined results: null and empty texts are one piece with the end id only. Null and repeated ids keep their rows, as
 pieces of their own. An empty table gives an empty one. Other columns are not read.
 """
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, ranked, text_batches
@@ -26,11 +30,13 @@ from .tokens import CACHE_ENTRIES, encoder
 
 CAPACITY = 2048
 END_ID = 0
+#: Of an order: the bits for the place in a file, below those for the file.
+FILE_BITS = 33
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
-    """The pieces of every document: doc_id, copy (a number that tells rows apart), piece, start, length, ids_crc32, and ids if asked for. start counts ids of the same document. ``cache`` is for each worker process, in entries."""
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE_ENTRIES, order: Column | None = None) -> DataFrame:
+    """The pieces of every document: doc_id, copy (``order``, a number that tells rows apart), piece, start, length, ids_crc32, and ids if asked for. start counts ids of the same document. ``cache`` is for each worker process, in entries."""
 
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     schema = schema.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else schema
@@ -52,7 +58,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     text_batches(docs.sparkSession)
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text).alias("text"))
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.monotonically_increasing_id() if order is None else order).alias("copy"), F.col(text).alias("text"))
     return chosen.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
@@ -163,10 +169,37 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.withColumn("_place", place("length", "_number")).select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, cache: int = CACHE_ENTRIES) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
-    pieces = checkpointed(token_pieces(docs, capacity, end_id, tokenizer, with_ids, cache=cache))
-    return assign(pieces, capacity).drop("copy")
+def assign_in_order(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The same where ``copy`` is the order of the documents, its bits above ``FILE_BITS`` being those of a file.
+
+    Sequence j of m of a kind stands at (j + 1/2) / m of the whole; all steps are joins and numberings by shuffle.
+    """
+    spark = pieces.sparkSession
+    planned = plan({r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}, capacity)
+    ends = np.cumsum([m for _, m in planned], dtype=np.int64)
+    shared = spark.sparkContext.broadcast((ends, np.array([m for _, m in planned], np.int64), [x for x, _ in planned]))
+
+    @F.pandas_udf("kind int, at double, length array<int>")
+    def sequence(number: pd.Series) -> pd.DataFrame:
+        ends, m, lengths = shared.value
+        kind = np.searchsorted(ends, number.to_numpy(), side="right")
+        j = number.to_numpy() - (ends - m)[kind]
+        return pd.DataFrame({"kind": kind.astype(np.int32), "at": (j + 0.5) / m[kind], "length": [lengths[k] for k in kind]})
+
+    all_ = spark.range(int(ends[-1]) if len(ends) else 0).withColumn("_s", sequence("id")).select("id", "_s.*", F.lit(0).alias("_all"))
+    all_ = ranked(all_, "_all", F.struct("at", "kind", "id"), "sequence_id", salt=F.floor(F.col("at") * (1 << 16)).cast("int"))
+    places = all_.select("sequence_id", F.posexplode("length").alias("_k", "_length"), "length")
+    offset = F.aggregate(F.slice("length", 1, F.col("_k")), F.lit(0).cast("long"), lambda a, x: a + x)
+    places = places.select("sequence_id", offset.alias("offset"), F.col("_length").cast("long").alias("_length"))
+    places = ranked(places, "_length", F.struct("sequence_id", "offset"), "_at", salt=F.shiftright("sequence_id", 16))
+    numbered = ranked(pieces, "length", F.struct("copy", "piece"), "_number", salt=F.shiftright("copy", FILE_BITS))
+    return numbered.join(places, (F.col("length") == F.col("_length")) & (F.col("_number") == F.col("_at"))).select(*pieces.columns, "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False, cache: int = CACHE_ENTRIES, order: Column | None = None) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for. ``order``: see ``assign_in_order``."""
+    pieces = checkpointed(token_pieces(docs, capacity, end_id, tokenizer, with_ids, cache=cache, order=order))
+    return (assign if order is None else assign_in_order)(pieces, capacity).drop("copy")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

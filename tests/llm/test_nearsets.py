@@ -1,7 +1,7 @@
 """The near-dedup of the pipeline against Jaccard similarities worked out pair by pair."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline as pipeline
 from rillstone.llm import nearsets, simhash
@@ -29,7 +29,8 @@ def least_of_groups(rows):
         own = list(queue)
         while queue:
             s = queue.pop()
-            near = {t for x in s for t in at[x] if t in left and 5 * len(s & t) >= 4 * len(s | t)}
+            common = Counter(t for x in s for t in at[x] if t in left)
+            near = {t for t, n in common.items() if 5 * n >= 4 * (len(s) + len(t) - n)}
             left -= near
             own += near
             queue += near

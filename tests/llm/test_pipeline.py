@@ -5,10 +5,10 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as pipeline
-from rillstone.llm import mixing, packing, simhash
+from rillstone.llm import mixing, packing
 
 from . import cases
-from .test_simhash import brute_components, brute_fingerprint
+from .test_nearsets import least_of_groups
 
 
 @pytest.fixture(scope="module")
@@ -32,16 +32,10 @@ def test_language_id_drops_only_texts_without_letters(results):
 
 
 def test_near_dedup_keeps_one_of_each_group(results):
-    rows = results[1].collect()
-    group = brute_components({brute_fingerprint(r.text, 5) for r in rows})
-    least = {}
-    for r in rows:
-        g = group[brute_fingerprint(r.text, 5)]
-        k = (r.doc_id is None, r.doc_id or 0)
-        least[g] = min(least.get(g, k), k)
-    got = results[2].collect()
-    assert len(got) == len(least)
-    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(least.values())
+    """Groups by exact five-word Jaccard similarities of 0.8 or more; null ids come last."""
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    want = least_of_groups([(key(r), r.text) for r in results[1].collect()])
+    assert sorted(key(r) for r in results[2].collect()) == want
 
 
 def test_pii_and_mixing_keep_all_documents(spark, results):
@@ -60,6 +54,34 @@ def test_packing_holds_all_documents(results):
     assert cut(got) == cut(want)
 
 
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    """Prefixes of the sequences hold the sources by their target weights, not by their sizes or lengths."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (3 + i // 10 % 50), "en", "big" if i % 10 else "small", 0) for i in range(3000)], "doc_id long, text string, lang string, source string, n_chars long")
+    of = {r.doc_id: r.source for r in docs.collect()}
+
+    def packed(name, mixed):
+        mixed.write.parquet(f"{tmp_path}/{name}")
+        got = pipeline.best_fit_packing(spark, spark.read.parquet(f"{tmp_path}/{name}"), cases.SF).collect()
+        assert sorted(r.doc_id for r in got) == sorted(of) and all(0 <= r.offset and r.offset + r.length <= 2048 for r in got)
+        assert sorted({r.sequence_id for r in got}) == list(range(len({r.sequence_id for r in got})))
+        return [of[r.doc_id] for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+
+    share = lambda sources: sum(s == "small" for s in sources) / len(sources)
+    mixed = packed("mixed", pipeline.source_mixing(spark, docs, cases.SF))
+    target = 300**0.7 / (300**0.7 + 2700**0.7)
+    ends = 300 / target  # documents until the small source ends
+    assert abs(share(mixed[: int(ends / 2)]) - target) < 0.03
+    by_id = packed("by_id", docs.orderBy("doc_id"))
+    assert abs(share(by_id[: int(ends / 2)]) - 0.1) < 0.03
+
+
+def test_empty_table(spark, tmp_path):
+    docs = cases.empty(spark).select(*pipeline.COLUMNS)
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, cases.SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0
+
+
 def test_run(spark):
     assert pipeline.run(spark, cases.SF).count() > 0
-    assert simhash.RADIUS == 3
