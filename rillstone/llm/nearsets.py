@@ -82,36 +82,37 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in zip(batch["a"], batch["b"], strict=True):
             a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
             keep.append(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
-        yield batch.loc[np.array(keep, bool), ["u", "v"]]
+        yield batch.loc[np.array(keep, bool), ["ru", "rv"]]
 
 
-def links(marked: DataFrame) -> DataFrame:
-    """Edges (u, v) between digests of ``marked`` (from ``with_sets``) that connect all similar pairs that share a bucket."""
-    spark = marked.sparkSession
+def groups(marked: DataFrame) -> DataFrame:
+    """(digest, root) for the digests of ``marked`` (from ``with_sets``) that share a bucket with another: root is the same for all that
+    similar pairs connect, directly or over others."""
     nodes = marked.groupBy("digest").agg(F.first("buckets").alias("buckets"), F.first(F.length("members")).alias("size"))
     each = nodes.select("digest", "size", F.explode("buckets").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     left = checkpointed(each.join(shared, "bucket").withColumn("root", F.col("digest")))
     sets = marked.join(left.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members"))
     sets = checkpointed(sets)
-    edges, leaders = spark.createDataFrame([], "u long, v long"), 1
+    roots, leaders = sets.select("digest", F.col("digest").alias("root")), 1
     rank = F.shiftrightunsigned(F.xxhash64("digest"), 11)  # 53 bits: the same order in all buckets
     while True:
         open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rank).alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         left = checkpointed(left.join(open_.select("bucket", "n", "least"), "bucket"))
         if left.isEmpty():
-            return edges
+            return roots
         # drawn by a hash, so that a large bucket needs no order; small ones are compared whole
         leads = (F.col("n") <= 2 * leaders) | (rank == F.col("least")) | (rank.cast("double") * F.col("n") < (leaders - 1) * 2.0**53)
-        a = left.where(leads).select("bucket", F.col("digest").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
-        b = left.select("bucket", F.col("digest").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"))
-        pairs = a.join(b, "bucket").where("ru <> rv and 5 * least(su, sv) >= 4 * greatest(su, sv)")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        a = left.where(leads).select("bucket", F.struct(F.col("digest").alias("u"), F.col("root").alias("r"), "size").alias("a"))
+        b = left.select("bucket", F.struct(F.col("digest").alias("u"), F.col("root").alias("r"), "size").alias("b"))
+        pairs = a.join(b, "bucket").where("a.r <> b.r and 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select(F.col("a.u").alias("u"), F.col("a.r").alias("ru"), F.col("b.u").alias("v"), F.col("b.r").alias("rv"))
         both = pairs.join(sets.select(F.col("digest").alias("u"), F.col("members").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("members").alias("b")), "v")
-        edges = checkpointed(edges.unionByName(both.mapInPandas(_checked, "u long, v long")))
-        left = left.where(~leads).select("bucket", "digest", "size")
-        if left.isEmpty():
-            return edges
-        roots = connected_components(edges).withColumnRenamed("node", "digest")
-        left = left.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        edges = checkpointed(both.select("ru", "rv", "a", "b").mapInPandas(_checked, "ru long, rv long"))
+        left = left.where(~leads).select("bucket", "digest", "size", "root")
+        if not edges.isEmpty():
+            joined = checkpointed(connected_components(edges.toDF("u", "v")).toDF("root", "_new"))
+            moved = lambda x: x.join(joined, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
+            roots, left = checkpointed(moved(roots)), moved(left)
         leaders *= GROWTH

@@ -148,8 +148,7 @@ def representatives(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
     (see ``nearsets``): that of the smallest id (any id comes before null), then of the least hash of id and text."""
     rows = docs.withColumn("_row", F.xxhash64(doc_id, text))
     marked = checkpointed(nearsets.with_sets(rows.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).drop("text"))
-    roots = connected_components(nearsets.links(marked)).withColumnRenamed("node", "digest")
-    rooted = marked.select("_row", "doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    rooted = marked.select("_row", "doc_id", "digest").join(nearsets.groups(marked), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     return rows.join(kept.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
