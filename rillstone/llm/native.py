@@ -33,3 +33,25 @@ def unpacked(x: Column) -> Column:
 
 def same_high(x: Column, y: Column) -> Column:
     return F.shiftright(x.bitwiseXOR(y), 24) == 0
+
+
+#: Texts of fewer words than this have their places packed; longer ones have structs instead, which take longer to sort.
+PLACES = 1 << 24
+
+
+class Packed:
+    """Pairs of a hash's low 40 bits and a place below ``PLACES``, as longs."""
+
+    make = staticmethod(packed)
+    rank = staticmethod(lambda x: x)
+    place = staticmethod(unpacked)
+    same = staticmethod(same_high)
+
+
+class Wide:
+    """The same pairs in the same order, for any place."""
+
+    make = staticmethod(lambda high, low: F.struct(F.shiftleft(high, 24).alias("r"), low.cast("int").alias("at")))
+    rank = staticmethod(lambda x: x["r"])
+    place = staticmethod(lambda x: x["at"])
+    same = staticmethod(lambda x, y: x["r"] == y["r"])

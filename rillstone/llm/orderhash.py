@@ -1,19 +1,21 @@
 """Document fingerprints by Order MinHash, within DataFrame functions.
 
 A text's k-mers are its runs of ``K`` words (words longer than ``CUT`` characters are cut into pieces of that length, so
-texts without blanks have k-mers too), each with its occurrence number. A hash of k-mer and number gives a bin and a
-rank; of every bin the ``TUPLE`` k-mers of least rank are taken, put back in the order of the text, and hashed as a
-tuple. Two texts share a bin's tuple only if they have the same least k-mers in the same order, so the share of equal
-bins falls with edit distance and not only with the sets of words. Short texts hash each k-mer in several rounds, fixed
-by the length in characters, so that bins hold enough k-mers for their order to count.
+texts without blanks have k-mers too), each with its occurrence number. A hash of k-mer and number is its point on a circle.
+From each of ``BINS`` fixed points of the circle the next ``TUPLE`` k-mers are taken, put back in the order of the text, and
+hashed as a tuple. Two texts share a bin's tuple only if they have the same next k-mers in the same order, so the share of equal
+bins falls with edit distance and not only with the sets of words. The rule is the same for texts of all lengths: short ones
+find the next k-mers beyond the bin, where other bins may find them too.
 
 All of it happens in arrays within a row: no Python, and no rows by word. The next document comes from a window within
 ranges of ids, to each of which a copy of the following range's first document is added; the ranges' borders are
-about quantiles, so no single task orders all documents; their first ids, at most ``RANGES``, are collected.
+about quantiles, so no single task orders all documents. There are ``RANGES``, or as many more as keep a range to about
+``RANGE_CHARS`` characters, up to ``MAX_RANGES``; their first ids are collected.
 
 Defined results: null texts are empty. Texts without words have the empty fingerprint, which is like itself and nothing
-else. With no more than ``K`` words, all words are the one k-mer. Null ids come first, as -2**63; rows with equal ids
-are ordered by their texts' hashes. A single document is its own next one. An empty table gives an empty one. Other
+else. With no more than ``K`` words, all words are the one k-mer. K-mers of a text count as the same, for their occurrence numbers,
+if 40 bits of their hashes are equal. Null ids come first, as -2**63; rows with equal ids
+are ordered by their texts' hashes (and share a task). A single document is its own next one. An empty table gives an empty one. Other
 columns are not read.
 """
 
@@ -23,18 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
-from .native import let, packed, same_high, unpacked, words
+from .native import PLACES, Packed, Wide, let, words
 
 K, TUPLE, BINS, CUT = 2, 2, 64, 16
-#: (least number of characters, rounds)
-ROUNDS = ((2048, 1), (512, 4), (128, 16), (0, 64))
 #: Ranges of ids for the search of next documents.
-RANGES = 2000
-_BIN = -(1 << 58)  # the six highest bits
+RANGES, RANGE_CHARS, MAX_RANGES = 2000, 1 << 28, 20_000
 
 
 def _bin(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 58)
+    """-BINS/2 to BINS/2 - 1, in the order of the circle."""
+    return F.shiftright(x, 58).cast("int")
 
 
 def _kmers(text: Column) -> Column:
@@ -44,42 +44,43 @@ def _kmers(text: Column) -> Column:
     return let(F.transform(words(cut), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) > K, many(h)).otherwise(few(h)))
 
 
-def _occurrence(s: Column, x: Column, i: Column) -> Column:
+def _occurrence(s: Column, x: Column, i: Column, of: type) -> Column:
     """How many equal k-mers stand before place i of the sorted array, by doubling steps."""
-    same = lambda back: F.coalesce(F.when(i >= back, same_high(F.get(s, i - back), x)), F.lit(False))
-    steps = F.array(*[F.lit(1 << b) for b in range(23, -1, -1)])
+    same = lambda back: F.coalesce(F.when(i >= back, of.same(F.get(s, i - back), x)), F.lit(False))
+    steps = F.array(*[F.lit(1 << b) for b in range(29, -1, -1)])
     count = F.aggregate(steps, F.lit(0), lambda n, b: F.when(same(n + b), n + b).otherwise(n))
     return F.when(~same(F.lit(1)), F.lit(0)).when(~same(F.lit(2)), F.lit(1)).otherwise(count)
 
 
-def fingerprint(text: Column) -> Column:
-    """An array with a long for every bin that has k-mers: the bin's number above the 32-bit hash of its tuple."""
-    n = F.length(text)
-    rounds = F.when(n >= ROUNDS[0][0], ROUNDS[0][1])
-    for least, r in ROUNDS[1:]:
-        rounds = rounds.when(n >= least, r)
+def _tuples(kmers: Column, of: type) -> Column:
+    """The fingerprint of a text's k-mers, if there are any."""
+    number = lambda s, x, i: F.xxhash64(F.get(kmers, of.place(x)).bitwiseAND(F.lit((1 << 40) - 1)), _occurrence(s, x, i, of))
+
+    def of_circle(r: Column) -> Column:
+        n, half = F.size(r), BINS // 2
+        begins = F.filter(F.transform(r, lambda x, i: F.when((i == 0) | (_bin(of.rank(F.get(r, i - 1))) != _bin(of.rank(x))), i)), lambda i: i.isNotNull())
+        at = lambda i: _bin(of.rank(F.get(r, i)))
 
-    def of_kmers(kmers: Column) -> Column:
-        def ranked(s: Column) -> Column:
-            numbered = F.transform(s, lambda x, i: F.struct(F.xxhash64(F.shiftright(x, 24), _occurrence(s, x, i)).alias("h"), unpacked(x).alias("at")))
-            all_rounds = lambda ns: F.sort_array(F.flatten(F.transform(F.sequence(F.lit(1), rounds), lambda t: F.transform(ns, lambda y: packed(F.xxhash64(y["h"], t), y["at"])))))
-            return let(numbered, all_rounds)
+        def starts(b: Column) -> Column:
+            """The place in r of the first k-mer from each of the fixed points."""
+            last = at(F.get(b, F.size(b) - 1))
+            before = F.flatten(F.transform(b, lambda i, k: F.array_repeat(i, F.when(k == 0, at(i) + half + 1).otherwise(at(i) - at(F.get(b, k - 1))))))
+            return F.concat(before, F.array_repeat(F.lit(0), half - 1 - last))
 
-        def tuples(r: Column) -> Column:
-            least = F.filter(r, lambda x, i: F.coalesce(F.when(i >= TUPLE, _bin(F.get(r, i - TUPLE)) != _bin(x)), F.lit(True)))
-            in_order = F.sort_array(F.transform(least, lambda x: x.bitwiseAND(F.lit(_BIN)).bitwiseOR(unpacked(x).cast("long"))))
+        def hashed(i: Column, k: Column) -> Column:
+            places = F.array_sort(F.transform(F.sequence(F.lit(0), F.least(F.lit(TUPLE), n) - 1), lambda j: of.place(F.get(r, (i + j) % n))))
+            whole = let(places, lambda p: F.xxhash64(*[F.get(kmers, F.get(p, j)) for j in range(TUPLE)]))  # nulls do not count
+            return F.shiftleft(k.cast("long"), 32).bitwiseOR(whole.bitwiseAND(F.lit(0xFFFFFFFF)))
 
-            def hashed(t: Column) -> Column:
-                member = lambda x, i, k: F.when(_bin(F.get(t, i + k)) == _bin(x), F.get(kmers, unpacked(F.get(t, i + k))))
-                whole = lambda x, i: F.shiftleft(_bin(x), 32).bitwiseOR(F.xxhash64(F.get(kmers, unpacked(x)), *[member(x, i, k) for k in range(1, TUPLE)]).bitwiseAND(F.lit(0xFFFFFFFF)))
-                first = lambda x, i: F.coalesce(F.when(i > 0, _bin(F.get(t, i - 1)) != _bin(x)), F.lit(True))
-                return F.filter(F.transform(t, lambda x, i: F.when(first(x, i), whole(x, i))), lambda x: x.isNotNull())
+        return F.transform(let(begins, starts), hashed)
 
-            return let(in_order, hashed)
+    points = lambda s: F.sort_array(F.transform(s, lambda x, i: of.make(number(s, x, i), of.place(x))))
+    return let(let(F.sort_array(F.transform(kmers, lambda x, i: of.make(x, i))), points), of_circle)
 
-        return let(let(F.sort_array(F.transform(kmers, lambda x, i: packed(x, i))), ranked), tuples)
 
-    return let(_kmers(text), of_kmers)
+def fingerprint(text: Column) -> Column:
+    """An array with a long for every bin, its number above the 32-bit hash of its tuple; without k-mers it is empty."""
+    return let(_kmers(text), lambda k: F.when(F.size(k) == 0, F.array().cast("array<bigint>")).when(F.size(k) < PLACES, _tuples(k, Packed)).otherwise(_tuples(k, Wide)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,9 +94,12 @@ def as_text(f: Column) -> Column:
     return F.array_join(F.transform(f, lambda x: F.lower(F.lpad(F.hex(x), 10, "0"))), "")
 
 
-def with_next(docs: DataFrame, *columns: str, ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, *columns: str, ranges: int | None = None) -> DataFrame:
     """``docs`` (doc_id and others) with _next, a struct of ``columns`` of the next document by id; after the last comes the first."""
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
+    if ranges is None:
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        ranges = min(max(RANGES, chars // RANGE_CHARS), MAX_RANGES)
     shares = [i / ranges for i in range(1, ranges)]
 
     def range_of(bounds: list[int]) -> Column:

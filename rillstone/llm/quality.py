@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, small
-from .native import BLANKS, let, packed, same_high, unpacked, words
+from .native import BLANKS, PLACES, let, packed, same_high, unpacked, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "distance", "kept")
 SYMBOLS = "#*$%&|<>"
@@ -50,8 +50,11 @@ def _repeat_words(own: Column) -> Column:
 
     def covered(h: Column) -> Column:
         near = lambda s, x, k: same_high(F.get(s, k), x) & (F.get(h, unpacked(F.get(s, k))) == F.get(h, unpacked(x)))
-        at = let(F.sort_array(F.transform(h, lambda x, i: packed(x, i))), lambda s: F.filter(s, lambda x, i: F.coalesce(F.when(i > 0, near(s, x, i - 1)), F.lit(False)) | F.coalesce(near(s, x, i + 1), F.lit(False))))
-        places = F.sort_array(F.transform(at, unpacked))
+        twice = lambda near: lambda s: F.filter(s, lambda x, i: F.coalesce(F.when(i > 0, near(s, x, i - 1)), F.lit(False)) | F.coalesce(near(s, x, i + 1), F.lit(False)))
+        short = F.transform(let(F.sort_array(F.transform(h, lambda x, i: packed(x, i))), twice(near)), unpacked)
+        # places beyond 24 bits: pairs instead
+        long = F.transform(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), twice(lambda s, x, k: F.get(s, k)["h"] == x["h"])), lambda x: x["i"])
+        places = F.sort_array(F.when(F.size(h) < PLACES, short).otherwise(long))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
     return let(_hashes(own), covered)

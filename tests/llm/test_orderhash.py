@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rillstone.llm import orderhash
-from rillstone.llm.orderhash import BINS, CUT, ROUNDS, TUPLE, K
+from rillstone.llm.orderhash import BINS, CUT, TUPLE, K
 
 from . import cases
 
@@ -35,20 +35,20 @@ def brute(text):
     if not h:
         return {}
     kmers = [chain(h[i : i + K]) for i in range(len(h) - K + 1)] if len(h) > K else [chain(h)]
-    rounds = next(r for least, r in ROUNDS if len(text) >= least)
-    seen, elements = {}, []
+    seen, circle = {}, []
     for at, x in enumerate(kmers):
         low = x & ((1 << 40) - 1)
-        low = low - (1 << 40) if low >> 39 else low
         occurrence = seen.get(low, 0)
         seen[low] = occurrence + 1
-        base = of_int(occurrence, of_long(low))
-        elements += [(of_int(t, of_long(base)) & ((1 << 40) - 1), at) for t in range(1, rounds + 1)]
+        point = of_int(occurrence, of_long(low)) & ((1 << 40) - 1)
+        circle.append((point - (1 << 40) if point >> 39 else point, at))
+    circle.sort()
     out = {}
     for b in range(BINS):
-        least = sorted(((r << 24 | at) for r, at in elements if r >> 34 == b))[:TUPLE]
-        if least:
-            out[b] = chain(kmers[x & 0xFFFFFF] for x in sorted(least, key=lambda x: x & 0xFFFFFF)) & 0xFFFFFFFF
+        start = (b - BINS // 2) << 34
+        first = next((i for i, (p, _) in enumerate(circle) if p >= start), 0)
+        places = sorted(circle[(first + j) % len(circle)][1] for j in range(min(TUPLE, len(circle))))
+        out[b] = chain(kmers[p] for p in places) & 0xFFFFFFFF
     return out
 
 
@@ -95,6 +95,23 @@ def test_order_counts(spark):
     assert got[1] < 0.75 < 0.9 < got[2]  # the same k-mers but one, in another order
 
 
+@pytest.mark.parametrize("n", [20, 60, 126, 127, 250, 510, 1000, 1498, 2046, 4000])
+def test_likeness_is_continuous_in_length(spark, n):
+    """A word more changes a text's fingerprint by no more than the few tuples it is in, at any length."""
+    text = " ".join(f"w{i * i % 9973}" for i in range(n))[: n]
+    frame = spark.createDataFrame([(text, text + " more", text[:-1])], "a string, b string, c string")
+    of = lambda x: orderhash.fingerprint(F.col(x))
+    got = frame.select(orderhash.likeness(of("a"), of("b")), orderhash.likeness(of("a"), of("c"))).first()
+    assert min(got) >= max(0.9 - 20 / n, 0.3) if n < 250 else min(got) >= 0.9
+
+
+def test_long_texts_are_handled_by_the_same_rule(spark, monkeypatch):
+    docs = cases.edge(spark).select("doc_id", "text")
+    want = sorted(map(str, orderhash.fingerprints(docs).collect()))
+    monkeypatch.setattr(orderhash, "PLACES", 10)
+    assert sorted(map(str, orderhash.fingerprints(docs).collect())) == want
+
+
 def test_single_document_and_empty_table(spark, tmp_path):
     one = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     assert orderhash.with_next(one, "text").first()["_next"].text == "a b c d e f g h"
