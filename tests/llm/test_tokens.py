@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rillstone.llm import packing, tokenfile
@@ -110,6 +111,28 @@ def test_lookup_by_key(spark, plain, tmp_path):
         tokenfile.Shard(f"file://{broken}")
 
 
+def test_lookup_in_the_corpus_reads_one_shard_and_little_of_it(spark, plain, tmp_path, monkeypatch):
+    docs = spark.range(0, 6000, 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text"))
+    manifest = tokenfile.write_shards(docs, f"file://{tmp_path}", 8)
+    opened = []
+    init = tokenfile.Shard.__init__
+    monkeypatch.setattr(tokenfile.Shard, "__init__", lambda self, path: (init(self, path), opened.append(self))[0])
+    for key in (0, 2997, 5997):
+        opened.clear()
+        (found,) = tokenfile.lookup(manifest, key)
+        assert found.tolist() == ids_of(plain, f"text of {key}", 2).tolist()
+        assert len(opened) == 1 and opened[0].bytes_read < 2500
+    opened.clear()
+    assert tokenfile.lookup(manifest, 1) == [] and tokenfile.lookup(manifest, None) == [] and tokenfile.lookup(manifest, 10**9) == []
+    assert len(opened) <= 1
+
+
+def test_shards_are_read_by_many_tasks(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    found = tokenfile.write_and_read(docs, shards=8)
+    assert found.select(F.spark_partition_id()).distinct().count() >= 6
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 30_000))
     made = tokenfile.PerfectHash.build(keys)
