@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.session import shared_dir
-from rillstone.sources.log import Log, Options
+from rillstone.sources.log import Batch, Log, Options, local_path
+from rillstone.sources.manifest import LogError
 from rillstone.streaming.log_stream import register
 
 PER_BATCH = 100
@@ -20,22 +21,15 @@ SEGMENT_BYTES = 4096
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that executors and the driver share; the manifest needs a file system that the driver can open."""
-    return tempfile.mkdtemp(prefix="log-", dir=_local(shared_dir(spark)))
+    """A new folder that executors and the driver share; the manifest needs a file system that the driver can open."""
+    shared = local_path(shared_dir(spark))
+    shared.mkdir(parents=True, exist_ok=True)
+    return tempfile.mkdtemp(prefix="log-", dir=shared)
 
 
-def _local(url: str) -> str:
-    import os
-    from urllib.parse import urlparse
-
-    path = urlparse(url).path
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
-def published(spark: SparkSession, sf_dir: str, committed: Callable[[int], bool] = lambda batch: True) -> Log:
+def published(spark: SparkSession, sf_dir: str, committed: Callable[[int], bool] = lambda batch: True, sync: bool = False) -> Log:
     """A log of ``events``; batches that ``committed`` refuses stay staged."""
-    log = Log.open(spark, _folder(spark), Options(SEGMENT_BYTES))
+    log = Log.open(spark, _folder(spark), Options(SEGMENT_BYTES, sync))
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = events.select((F.floor(F.col("event_id") / PER_BATCH) + 1).alias("batch"), (F.col("event_id") % PER_BATCH).cast("int").alias("ord"), F.encode("props", "utf-8").alias("record"))
     staged = log.append_all(rows)
@@ -82,7 +76,41 @@ def stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s["segments"], s["batches"], s["first_seq"], s["last_seq"])], "segments long, batches long, first_seq long, last_seq long")
 
 
-QUERIES = {f.__name__: f for f in (scan_from, read_one, segments, uncommitted_hidden, batch_sizes, stream_replay, stat)}
+def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is flushed before each commit returns, opened anew and read."""
+    log = published(spark, sf_dir, sync=True)
+    return _shown(Log.open(spark, str(log.folder), Options(SEGMENT_BYTES, sync=True)).scan(2))
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is raised in each case of a wrong call, and by data that was changed after its commit."""
+    log = published(spark, sf_dir, lambda batch: batch <= 2)
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] // PER_BATCH + 1
+    staged = log.append([b"once"])
+    log.commit(staged)
+    changed = log.append([b"good"])
+    seq = log.commit(changed)
+    spark.createDataFrame([(1, 0, bytearray(b"evil"))], "batch long, ord int, record binary").write.mode("overwrite").parquet(changed.path)
+    cases = {
+        "read uncommitted": lambda: log.read(last + 10),
+        "read changed data": lambda: log.read(seq),
+        "replay changed data": lambda: log.for_each(seq, lambda batch: None),
+        "commit twice": lambda: log.commit(staged),
+        "commit unknown": lambda: log.commit(Batch(log.log_id, "elsewhere", 0, 0, 0)),
+        "commit to another log": lambda: Log.open(spark, _folder(spark), Options(SEGMENT_BYTES)).commit(log.append([b"a"])),
+        "replay from beyond the end": lambda: log.for_each(seq + 1, lambda batch: None),
+    }
+    found = []
+    for case, call in cases.items():
+        try:
+            call()
+            found.append((case, "none"))
+        except LogError as e:
+            found.append((case, type(e).__name__.removesuffix("Error")))
+    return spark.createDataFrame(found, "case string, error string")
+
+
+QUERIES = {f.__name__: f for f in (scan_from, read_one, segments, uncommitted_hidden, batch_sizes, stream_replay, stat, synced, errors)}
 
 _ROWS = f"SELECT event_id // {PER_BATCH} + 1 AS batch, CAST(event_id % {PER_BATCH} AS INTEGER) AS ord, props AS record FROM events"
 _SIZES = f"SELECT batch AS seq, count(*) AS n_records, CAST(sum(octet_length(encode(record))) AS BIGINT) AS n_bytes FROM ({_ROWS}) GROUP BY batch"
@@ -103,6 +131,11 @@ ORACLE_SQL = {
     "segments": _SEGMENTS,
     "uncommitted_hidden": f"SELECT batch // 2 AS seq, ord, record FROM ({_ROWS}) WHERE batch % 2 = 0",
     "batch_sizes": _SIZES,
+    "synced": f"SELECT batch AS seq, ord, record FROM ({_ROWS}) WHERE batch >= 2",
+    "errors": """
+        SELECT * FROM (VALUES ('read uncommitted', 'NotCommitted'), ('read changed data', 'CorruptSegment'), ('replay changed data', 'CorruptSegment'), ('commit twice', 'UnknownBatch'),
+            ('commit unknown', 'UnknownBatch'), ('commit to another log', 'UnknownBatch'), ('replay from beyond the end', 'none')) AS t("case", error)
+    """,
     "stream_replay": f"SELECT batch AS seq, ord, record FROM ({_ROWS}) WHERE batch >= 2",
     "stat": f"SELECT count(*) AS segments, (SELECT count(*) FROM ({_SIZES})) AS batches, min(first_seq) AS first_seq, max(last_seq) AS last_seq FROM ({_SEGMENTS})",
 }

@@ -1,7 +1,8 @@
 """A single-writer, append-only batch log on Spark: stage a batch, commit it, read it, replay from a sequence.
 
-Record data is Parquet that executors write and read; what is committed is decided by the manifest alone, so staged and
-abandoned data stays invisible. Records are opaque bytes. There is no update, delete, compaction or replication.
+Record data is Parquet that executors write and read, sorted by batch and place; what is committed is decided by the manifest
+alone, so staged and abandoned data stays invisible. A commit costs the same however long the log is. A scan that checks sums up the
+data with map-side partial sums beside reading it, in the same job: a batch with most of the rows is never gathered. Records are opaque bytes. There is no update, delete, compaction or replication.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from pathlib import Path
+from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .manifest import FIRST_SEQUENCE, FORMAT, CorruptSegmentError, Entry, LogError, Manifest, NotCommittedError, UnknownBatchError, sync_tree
+from .manifest import COLUMNS, FIRST_SEQUENCE, FORMAT, CorruptSegmentError, Entry, LogError, Manifest, NotCommittedError, UnknownBatchError, sync_tree
 
-DATA = "ord int, record binary"
+DATA = "batch long, ord int, record binary"
+DIFFERS = "differs from what was committed"
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
 
 @dataclass(frozen=True)
@@ -51,17 +57,27 @@ class Batch:
     checksum: int
     seq: int | None = None
     records: tuple[bytes, ...] = ()
+    key: int = 1
 
 
-def _facts() -> list:
-    """What the manifest keeps of a batch's rows."""
-    return [F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("record")), F.lit(0)).alias("size"), F.coalesce(F.sum(F.xxhash64("ord", "record").cast("decimal(20,0)")), F.lit(0)).alias("sum"), F.count_if(F.col("record").isNull() | F.col("ord").isNull()).alias("nulls")]
+def _facts() -> dict:
+    """What the manifest keeps of a batch's rows; the checksum is a sum modulo 2**64 of hashes of place and content."""
+    sums = {"n": F.count("*"), "size": F.sum(F.octet_length("record")), "sum": F.sum(F.xxhash64("ord", "record").cast("decimal(20,0)"))}
+    return sums | {"nulls": F.count_if(F.col("record").isNull() | F.col("ord").isNull())}
 
 
 def _checksum(total) -> int:
     return int(total) % (1 << 64)
 
 
+def local_path(url: str) -> Path:
+    """The path of a plain path or a ``file:`` URL; the manifest needs a file system that the driver can open and that can link."""
+    parsed = urlparse(url)
+    if parsed.scheme not in ("", "file"):
+        raise LogError(f"{url}: only file systems that the driver can open can hold a log")
+    return Path(parsed.path)
+
+
 class Log:
     """``Log.open(spark, folder, options)``; one writer at a time."""
 
@@ -69,12 +85,13 @@ class Log:
         self.spark, self.folder, self.options = spark, folder, options
         self.manifest = Manifest(folder / "_commits")
         self.log_id = uuid.uuid4().hex
-        self._staged: set[str] = set()
+        self._staged: set[tuple[str, int]] = set()
+        self._last = self.manifest.last()
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, options: Options) -> Log:
         """Opens the log in ``folder``, and creates it if there is none. Batches staged before are no longer known."""
-        root = Path(folder)
+        root = local_path(folder)
         (root / "data").mkdir(parents=True, exist_ok=True)
         head = root / "_log.json"
         if head.exists():
@@ -93,132 +110,152 @@ class Log:
             if not isinstance(r, bytes | bytearray):
                 raise TypeError(f"record {i} is {type(r).__name__}, not bytes")
             rows.append((1, i, bytearray(r)))
-        found = self.append_all(self.spark.createDataFrame(rows, "batch long, ord int, record binary"))
-        return found[1] if rows else self._stage(self._new_path() / "batch=1", 0, 0, 0)
+        if not rows:
+            return self._stage(self._new_path(), 1, 0, 0, 0)
+        return self.append_all(self.spark.createDataFrame(rows, DATA))[1]
 
     def _new_path(self) -> Path:
         return self.folder / "data" / uuid.uuid4().hex
 
-    def _stage(self, path: Path, n: int, size: int, checksum: int) -> Batch:
-        path.mkdir(parents=True, exist_ok=True)
-        self._staged.add(str(path))
-        return Batch(self.log_id, str(path), n, size, checksum)
+    def _stage(self, path: Path, key: int, n: int, size: int, checksum: int) -> Batch:
+        self._staged.add((str(path), key))
+        return Batch(self.log_id, str(path), n, size, checksum, key=key)
 
     def append_all(self, rows: DataFrame) -> dict[int, Batch]:
         """Stages one batch for each value of ``batch`` in rows of (batch, ord, record), by one job; the handles by that value.
 
-        The driver holds a handle for each batch. ``ord`` gives the order within a batch. Rows are brought together by
-        batch; a batch with a large share of the rows is split over several tasks and files.
+        The driver holds a handle for each batch. ``ord`` gives the order within a batch. Rows are dealt by ranges of batch and
+        ord, so a batch with a large share of the rows is split over several tasks and files, and many small ones share a file.
         """
         target = self._new_path()
-        if not rows.isEmpty():
-            rows.select(F.col("batch").cast("long"), F.col("ord").cast("int"), F.col("record").cast("binary")).hint("rebalance", "batch").write.partitionBy("batch").parquet(str(target))
-        else:
-            target.mkdir(parents=True)
-        if not any(target.glob("batch=*")):
-            return {}
-        facts = self.spark.read.schema(f"{DATA}, batch long").parquet(str(target)).groupBy("batch").agg(*_facts()).collect()
+        rows = rows.select(F.col("batch").cast("long"), F.col("ord").cast("int"), F.col("record").cast("binary"))
+        rows.repartitionByRange("batch", "ord").sortWithinPartitions("batch", "ord").write.parquet(str(target))
+        facts = self.spark.read.schema(DATA).parquet(str(target)).groupBy("batch").agg(*[c.alias(k) for k, c in _facts().items()]).collect()
         if any(f["nulls"] or f["batch"] is None for f in facts):
             raise ValueError("batch, ord and record must not be null")
-        return {f["batch"]: self._stage(target / f"batch={f['batch']}", f["n"], f["size"], _checksum(f["sum"])) for f in facts}
+        return {f["batch"]: self._stage(target, f["batch"], f["n"], f["size"], _checksum(f["sum"])) for f in facts}
 
     def commit(self, batch: Batch) -> int:
         """Makes a staged batch durable and visible, all of it or nothing, and returns its sequence."""
-        if batch.log_id != self.log_id or batch.path not in self._staged:
-            raise UnknownBatchError(batch.path)
+        return self.commit_all([batch])[0]
+
+    def commit_all(self, batches: Iterable[Batch]) -> list[int]:
+        """Commits in this order, all at once or none."""
+        batches = list(batches)
+        known = [(b.path, b.key) for b in batches]
+        for b, k in zip(batches, known, strict=True):
+            if b.log_id != self.log_id or k not in self._staged or len(set(known)) < len(known):
+                raise UnknownBatchError(b.path)
+        if not batches:
+            return []
         if self.options.sync:
-            sync_tree(Path(batch.path))
+            for path in {b.path for b in batches if b.n_records}:
+                sync_tree(Path(path))
             sync_tree(self.folder / "_log.json")
-        known = self.manifest.sequences()
-        last = self.manifest.entry(known[-1]) if known else None
-        seq = known[-1] + 1 if known else FIRST_SEQUENCE
-        if last and last.segment_bytes + batch.n_bytes <= self.options.segment_bytes:
-            segment, size, first = last.segment_id, last.segment_bytes + batch.n_bytes, last.segment_first
-        else:
-            segment, size, first = last.segment_id + 1 if last else 0, batch.n_bytes, seq
-        path = str(Path(batch.path).relative_to(self.folder))
+        last, entries = self._last, []
+        for b in batches:
+            seq = last.seq + 1 if last else FIRST_SEQUENCE
+            if last and last.segment_bytes + b.n_bytes <= self.options.segment_bytes:
+                segment, size, first = last.segment_id, last.segment_bytes + b.n_bytes, last.segment_first
+            else:
+                segment, size, first = last.segment_id + 1 if last else 0, b.n_bytes, seq
+            last = Entry(seq, segment, str(Path(b.path).relative_to(self.folder)), b.key, b.n_records, b.n_bytes, b.checksum, size, first)
+            entries.append(last)
         try:
-            self.manifest.publish(Entry(seq, segment, path, batch.n_records, batch.n_bytes, batch.checksum, size, first), self.options.sync)
+            self.manifest.publish(entries, self.options.sync)
         except FileExistsError:
-            raise LogError(f"another writer has committed sequence {seq}") from None
-        self._staged.discard(batch.path)
-        return seq
-
-    def commit_all(self, batches: Iterable[Batch]) -> list[int]:
-        """Commits in this order; each batch is atomic by itself."""
-        return [self.commit(b) for b in batches]
+            raise LogError(f"another writer has committed sequence {entries[0].seq}") from None
+        self._last = last
+        self._staged.difference_update(known)
+        return [e.seq for e in entries]
 
     # reading
 
+    def _committed(self) -> DataFrame:
+        """The manifest as Spark reads it."""
+        return self.spark.read.schema(COLUMNS).json(str(self.folder / "_commits" / "*.json"))
+
     def _load(self, entries: list[Entry], check: bool) -> DataFrame:
-        """seq, ord, record of these batches. With ``check`` their facts are compared with the manifest first."""
+        """seq, ord, record of these batches. With ``check`` an action on it fails where data is not what was committed."""
         full = [e for e in entries if e.n_records]
-        missing = [e for e in full if not any((self.folder / e.path).glob("*.parquet"))]
-        if missing:
-            raise CorruptSegmentError(f"data of sequence {missing[0].seq} is missing")
         if not full:
-            return self.spark.createDataFrame([], f"seq long, {DATA}")
-        by_path = self.spark.createDataFrame([(e.path, e.seq) for e in full], "_path string, seq long")
-        rows = self.spark.read.schema(DATA).parquet(*[str(self.folder / e.path) for e in full])
-        rows = rows.withColumn("_path", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/batch=-?\d+)/[^/]*$", 1))
-        rows = rows.join(F.broadcast(by_path) if len(full) <= 100_000 else by_path, "_path").select("seq", "ord", "record")
-        if check:
-            try:
-                found = {f["seq"]: (f["n"], f["size"], _checksum(f["sum"])) for f in rows.groupBy("seq").agg(*_facts()).collect()}
-            except Exception as e:
-                raise CorruptSegmentError(f"data can't be read: {str(e).splitlines()[0][:200]}") from e
-            for e in full:
-                if found.get(e.seq) != (e.n_records, e.n_bytes, e.checksum):
-                    raise CorruptSegmentError(f"data of sequence {e.seq} differs from what was committed")
-        return rows
+            return self.spark.createDataFrame([], "seq long, ord int, record binary")
+        try:
+            rows = self.spark.read.schema(DATA).parquet(*sorted({str(self.folder / e.path) for e in full}))
+        except SPARK_ERRORS as e:
+            raise CorruptSegmentError(f"data can't be read: {str(e).splitlines()[0][:200]}") from e
+        rows = rows.withColumn("path", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+)/[^/]*$", 1))
+        lo, hi = full[0].seq, full[-1].seq
+        batches = self._committed().where((F.col("seq") >= lo) & (F.col("seq") <= hi) & (F.col("n_records") > 0))
+        if len(full) == 1:  # what Parquet's own statistics can prune
+            rows = rows.where(F.col("batch") == full[0].batch)
+        if not check:
+            return batches.join(rows, ["path", "batch"]).select("seq", "ord", "record")
+        found = rows.groupBy("path", "batch").agg(*[c.alias(f"_{k}") for k, c in _facts().items()])
+        same = (F.col("_n") == F.col("n_records")) & (F.col("_size") == F.col("n_bytes")) & (F.pmod("_sum", F.lit(str(1 << 64)).cast("decimal(38,0)")) == F.col("checksum"))
+        judged = batches.join(found, ["path", "batch"], "left").select("path", "batch", "seq", F.coalesce(same, F.lit(False)).alias("_same"))
+        joined = judged.join(rows, ["path", "batch"], "left")
+        message = F.concat(F.lit("data of sequence "), F.col("seq").cast("string"), F.lit(f" {DIFFERS}"))
+        return joined.select("seq", F.when(F.col("_same"), F.col("ord")).otherwise(F.raise_error(message).cast("int")).alias("ord"), "record")
+
+    @staticmethod
+    def _refused(e: Exception) -> CorruptSegmentError:
+        return CorruptSegmentError(next((line.strip()[:300] for line in str(e).splitlines() if DIFFERS in line), f"data can't be read: {str(e).splitlines()[0][:200]}"))
 
     def read(self, seq: int, check: bool = True) -> DataFrame:
-        """ord and record of one committed batch, in order."""
-        if seq not in self.manifest.sequences():
-            raise NotCommittedError(f"sequence {seq} is not committed")
-        return self._load([self.manifest.entry(seq)], check).select("ord", "record").orderBy("ord")
+        """ord and record of one committed batch, in order. With ``check`` its data is read and compared at once."""
+        rows = self._load([self.manifest.entry(seq)], check).select("ord", "record")
+        if check:
+            try:
+                rows.agg(F.count("ord")).collect()
+            except SPARK_ERRORS as e:
+                raise self._refused(e) from e
+        return rows.orderBy("ord")
 
     def records(self, seq: int) -> list[bytes]:
         """The records of one committed batch."""
         return [bytes(r["record"]) for r in self.read(seq).toLocalIterator()]
 
     def scan(self, start: int = FIRST_SEQUENCE, check: bool = True) -> DataFrame:
-        """seq, ord, record of the batches committed now from ``start`` on, sorted. Empty batches have no rows; see ``batches``."""
-        return self._load(self.manifest.entries(start), check).orderBy("seq", "ord")
+        """seq, ord, record of the batches committed now from ``start`` on, sorted. Empty batches have no rows; see ``batches``.
+
+        With ``check`` an action on it fails if the data is not what was committed; ``for_each`` raises CorruptSegmentError.
+        """
+        return self._load(list(self.manifest.entries(start)), check).orderBy("seq", "ord")
 
     def for_each(self, start: int, fn: Callable[[Batch], None]) -> None:
         """Calls ``fn`` for every batch committed now from ``start`` on, in order; an error that it raises ends the scan. One batch is held at a time."""
-        entries = self.manifest.entries(start)
-        rows = groupby(self._load(entries, True).orderBy("seq", "ord").toLocalIterator(), key=lambda r: r["seq"])
+        entries = list(self.manifest.entries(start))
+
+        def checked() -> Iterator:
+            try:
+                yield from self._load(entries, True).orderBy("seq", "ord").toLocalIterator()
+            except SPARK_ERRORS as e:
+                raise self._refused(e) from e
+
+        rows = groupby(checked(), key=lambda r: r["seq"])
         at, own = next(rows, (None, iter(())))
         for e in entries:
             records: tuple[bytes, ...] = ()
             if at == e.seq:
                 records = tuple(bytes(r["record"]) for r in own)
                 at, own = next(rows, (None, iter(())))
-            fn(Batch(self.log_id, str(self.folder / e.path), e.n_records, e.n_bytes, e.checksum, e.seq, records))
+            fn(Batch(self.log_id, str(self.folder / e.path), e.n_records, e.n_bytes, e.checksum, e.seq, records, e.batch))
 
     def batches(self) -> DataFrame:
         """seq, segment_id, n_records, n_bytes of every committed batch, empty ones too."""
-        return self.spark.createDataFrame([(e.seq, e.segment_id, e.n_records, e.n_bytes) for e in self.manifest.entries()], "seq long, segment_id long, n_records long, n_bytes long")
+        return self._committed().select("seq", "segment_id", "n_records", "n_bytes")
+
+    def segments_frame(self) -> DataFrame:
+        """segment_id, first_seq, last_seq."""
+        return self._committed().groupBy("segment_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
     def segments(self) -> list[Segment]:
         """Segments with their first and last sequence."""
-        return list(self._segments())
-
-    def _segments(self) -> Iterator[Segment]:
-        known = self.manifest.sequences()
-        at = known[-1] if known else 0
-        found = []
-        while at >= FIRST_SEQUENCE:  # one entry for each segment
-            e = self.manifest.entry(at)
-            found.append(Segment(e.segment_id, e.segment_first, at))
-            at = e.segment_first - 1
-        return reversed(found)
-
-    def segments_frame(self) -> DataFrame:
-        return self.spark.createDataFrame([(s.segment_id, s.first_seq, s.last_seq) for s in self.segments()], "segment_id long, first_seq long, last_seq long")
+        last = {e.segment_id: e for e in self.manifest.entries()}
+        return [Segment(e.segment_id, e.segment_first, e.seq) for e in last.values()]
 
     def stat(self) -> dict[str, int | None]:
-        known = self.manifest.sequences()
-        return {"segments": len(self.segments()), "batches": len(known), "first_seq": known[0] if known else None, "last_seq": known[-1] if known else None}
+        """From the last entry alone: segments and sequences have no gaps."""
+        last = self.manifest.last()
+        return {"segments": last.segment_id + 1 if last else 0, "batches": last.seq - FIRST_SEQUENCE + 1 if last else 0, "first_seq": FIRST_SEQUENCE if last else None, "last_seq": last.seq if last else None}

@@ -1,8 +1,10 @@
 """``spark.readStream.format("batch_log")``: replays committed batches and goes on with new ones.
 
-The offset is the next sequence, a partition is a batch. A micro-batch may hold several batches, so rows carry ``seq``,
-and consumers that must not repeat work after a failure keep the last ``seq`` they have finished. Empty batches move the
-offset and have no rows. Options: ``path``, ``start`` (the first sequence, 1 by default).
+The offset is the next sequence, a partition is a run of batches of about ``PARTITION_BYTES``, or one larger batch. A
+micro-batch may hold several batches, so rows carry ``seq``, and consumers that must not repeat work after a failure keep
+the last ``seq`` they have finished. Rows of a batch come in no set order; ``ord`` has it. Number, bytes and checksum of every
+batch are compared with what was committed, and its task fails if they differ. Empty batches move the offset and have no rows.
+Options: ``path``, ``start`` (the first sequence, 1 by default).
 """
 
 from __future__ import annotations
@@ -11,49 +13,74 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-import pyarrow.parquet as pq
+import pyarrow.dataset as ds
+import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from rillstone.sources.manifest import FIRST_SEQUENCE, CorruptSegmentError, Manifest
+from rillstone.sources.log import local_path
+from rillstone.sources.manifest import FIRST_SEQUENCE, CorruptSegmentError, Entry, Manifest
 
 SCHEMA = "seq bigint, ord int, record binary"
 _ARROW = pa.schema([("seq", pa.int64()), ("ord", pa.int32()), ("record", pa.binary())])
-
-
-class BatchPartition(InputPartition):
-    def __init__(self, seq: int, path: str, n_records: int, n_bytes: int):
-        self.seq, self.path, self.n_records, self.n_bytes = seq, path, n_records, n_bytes
-
-
-def _read(partition: BatchPartition) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in order. Raises if their number or size is not what was committed."""
-    try:
-        table = pa.concat_tables([pq.read_table(p, columns=["ord", "record"], partitioning=None) for p in sorted(Path(partition.path).glob("*.parquet"))])
-    except (OSError, ValueError) as e:
-        raise CorruptSegmentError(f"data of sequence {partition.seq} can't be read: {e}") from None
-    size = sum(len(x) for x in table.column("record").to_pylist())
-    if (table.num_rows, size) != (partition.n_records, partition.n_bytes):
-        raise CorruptSegmentError(f"data of sequence {partition.seq} differs from what was committed")
-    table = table.sort_by("ord").add_column(0, "seq", pa.array([partition.seq] * table.num_rows, pa.int64()))
-    yield from table.cast(_ARROW).to_batches()
-
-
-def _partitions(folder: Path, start: int, end: int | None) -> list[BatchPartition]:
-    return [BatchPartition(e.seq, str(folder / e.path), e.n_records, e.n_bytes) for e in Manifest(folder / "_commits").entries(start, end) if e.n_records]
+PARTITION_BYTES = 16 << 20
+
+
+class BatchesPartition(InputPartition):
+    def __init__(self, folder: str, entries: list[Entry]):
+        self.folder, self.entries = folder, entries
+
+
+def _hash(ord_: int, record: bytes) -> int:
+    """Spark's xxhash64(ord, record), signed."""
+    x = xxhash.xxh64_intdigest(record, xxhash.xxh64_intdigest(ord_.to_bytes(4, "little", signed=True), 42))
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _read(partition: BatchesPartition) -> Iterator[pa.RecordBatch]:
+    by_key = {(e.path, e.batch): e for e in partition.entries}
+    found = {e.seq: [0, 0, 0] for e in partition.entries}
+    for path in sorted({e.path for e in partition.entries}):
+        wanted = [e.batch for e in partition.entries if e.path == path]
+        try:
+            data = ds.dataset(str(Path(partition.folder, path)), format="parquet", partitioning=None)
+            for part in data.scanner(columns=["batch", "ord", "record"], filter=ds.field("batch").isin(wanted), batch_size=10_000).to_batches():
+                seqs = [by_key[path, b].seq for b in part.column("batch").to_pylist()]
+                for seq, o, r in zip(seqs, part.column("ord").to_pylist(), part.column("record").to_pylist(), strict=True):
+                    own = found[seq]
+                    own[0], own[1], own[2] = own[0] + 1, own[1] + len(r), own[2] + _hash(o, r)
+                yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), part.column("ord"), part.column("record")], schema=_ARROW)
+        except (OSError, ValueError, KeyError) as e:
+            raise CorruptSegmentError(f"data from sequence {partition.entries[0].seq} on can't be read: {e}") from None
+    for e in partition.entries:
+        n, size, total = found[e.seq]
+        if (n, size, total % (1 << 64)) != (e.n_records, e.n_bytes, e.checksum):
+            raise CorruptSegmentError(f"data of sequence {e.seq} differs from what was committed")
+
+
+def _partitions(folder: Path, start: int, end: int | None) -> list[BatchesPartition]:
+    out, size = [], 0
+    for e in Manifest(folder / "_commits").entries(start, end):
+        if not e.n_records:
+            continue
+        if not out or size + e.n_bytes > PARTITION_BYTES:
+            out.append(BatchesPartition(str(folder), []))
+            size = 0
+        out[-1].entries.append(e)
+        size += e.n_bytes
+    return out
 
 
 class LogReader(DataSourceReader):
     def __init__(self, folder: Path, start: int):
         self.folder, self.start = folder, start
 
-    def partitions(self) -> list[BatchPartition]:
-        return _partitions(self.folder, self.start, None) or [BatchPartition(0, "", 0, 0)]
+    def partitions(self) -> list[BatchesPartition]:
+        return _partitions(self.folder, self.start, None) or [BatchesPartition("", [])]
 
-    def read(self, partition: BatchPartition) -> Iterator[pa.RecordBatch]:
-        if partition.n_records:
-            yield from _read(partition)
+    def read(self, partition: BatchesPartition) -> Iterator[pa.RecordBatch]:
+        yield from _read(partition)
 
 
 class LogStreamReader(DataSourceStreamReader):
@@ -64,13 +91,13 @@ class LogStreamReader(DataSourceStreamReader):
         return {"next": self.start}
 
     def latestOffset(self) -> dict:
-        known = Manifest(self.folder / "_commits").sequences()
-        return {"next": max(self.start, known[-1] + 1 if known else FIRST_SEQUENCE)}
+        last = Manifest(self.folder / "_commits").last()
+        return {"next": max(self.start, last.seq + 1 if last else FIRST_SEQUENCE)}
 
-    def partitions(self, start: dict, end: dict) -> list[BatchPartition]:
+    def partitions(self, start: dict, end: dict) -> list[BatchesPartition]:
         return _partitions(self.folder, start["next"], end["next"])
 
-    def read(self, partition: BatchPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: BatchesPartition) -> Iterator[pa.RecordBatch]:
         yield from _read(partition)
 
     def commit(self, end: dict) -> None:
@@ -86,7 +113,7 @@ class LogSource(DataSource):
         return SCHEMA
 
     def _given(self) -> tuple[Path, int]:
-        return Path(self.options["path"]), int(self.options.get("start", FIRST_SEQUENCE))
+        return local_path(self.options["path"]), int(self.options.get("start", FIRST_SEQUENCE))
 
     def reader(self, schema: StructType) -> LogReader:
         return LogReader(*self._given())

@@ -187,6 +187,47 @@ def test_stream_goes_on_where_it_stopped(log, spark, tmp_path):
     assert found.count() == 4
 
 
+def test_many_commits_at_once_are_one_publication(log, spark):
+    staged = [log.append([b"%d" % i]) for i in range(3)]
+    with pytest.raises(UnknownBatchError):
+        log.commit_all([staged[0], staged[0]])
+    assert log.commit_all(staged) == [1, 2, 3] and log.commit_all([]) == []
+    assert len(list((log.folder / "_commits").iterdir())) == 1
+    assert log.manifest.entry(2).seq == 2 and log.records(3) == [b"2"]
+    assert replay(Log.open(spark, str(log.folder), Options(64)), 2) == [(2, [b"1"]), (3, [b"2"])]
+
+
+def test_a_second_writer_is_refused_after_a_group(log, spark):
+    other = Log.open(spark, str(log.folder), Options(64))
+    late = other.append([b"late"])
+    log.commit_all([log.append([b"a"]), log.append([b"b"])])
+    with pytest.raises(LogError):
+        other.commit(late)
+    assert replay(log) == [(1, [b"a"]), (2, [b"b"])]
+
+
+def test_a_commit_does_not_list_the_manifest(log, monkeypatch):
+    log.commit(log.append([b"a"]))
+    batch = log.append([b"b"])
+    monkeypatch.setattr("os.listdir", lambda *a: pytest.fail("listed"))
+    assert log.commit(batch) == 2
+    assert log.manifest.entry(1).seq == 1
+
+
+def test_stream_refuses_data_of_equal_length(log, spark, tmp_path):
+    register(spark)
+    batch = log.append([b"good"])
+    log.commit(batch)
+    spark.createDataFrame([(1, 0, bytearray(b"evil"))], "batch long, ord int, record binary").write.mode("overwrite").parquet(batch.path)
+    with pytest.raises(Exception, match="differs"):
+        spark.read.format("batch_log").option("path", str(log.folder)).load().collect()
+
+
+def test_only_local_file_systems_hold_a_log(spark):
+    with pytest.raises(LogError):
+        Log.open(spark, "hdfs://host/dir", Options(64))
+
+
 def test_manifest_rejects_sequences_beyond_bigint(tmp_path):
     log = Manifest(Path(tmp_path))
     with pytest.raises(LogError):

@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
     found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
-    sql = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    sql = db.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, found.select(columns).collect())) == sorted(sql)
 
 
