@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_batches
+from .common import checkpointed, small, text_batches
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -61,19 +61,31 @@ def bands(values: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with digest (of the set), the set as sorted bytes, and its buckets."""
+def with_sketch(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with digest (of the set of shingles), its size, and its buckets."""
 
-    @F.pandas_udf("digest long, members binary, buckets array<long>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            values = np.unique(shingles(t, words))
-            out.append((xxhash.xxh64_intdigest(values.tobytes(), 7) - (1 << 63), values.tobytes(), bands(values)))
-        return pd.DataFrame(out, columns=["digest", "members", "buckets"])
+    @F.pandas_udf("digest long, size int, buckets array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingles(t, words)) for t in texts]
+        return pd.DataFrame([(xxhash.xxh64_intdigest(x.tobytes(), 7) - (1 << 63), len(x), bands(x)) for x in sets], columns=["digest", "size", "buckets"])
 
     text_batches(docs.sparkSession)
-    return docs.withColumn("_sets", sets("text")).select(*docs.columns, "_sets.*")
+    return docs.withColumn("_sketch", sketch("text")).select(*docs.columns, "_sketch.*")
+
+
+#: Rows of texts to be compared that are broadcast to pick them out; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def members(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """(digest, members), the set as sorted bytes, of each digest in ``chosen`` (digest, _row), from the text of that row of ``docs``."""
+
+    @F.pandas_udf("binary")
+    def as_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, words)).tobytes() for t in texts], dtype=object)
+
+    picked = docs.select("_row", "text").join(F.broadcast(chosen) if small(chosen, BROADCAST_ROWS) else chosen, "_row")
+    return picked.select("digest", as_bytes("text").alias("members")).groupBy("digest").agg(F.first("members").alias("members"))
 
 
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,15 +97,15 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["ru", "rv"]]
 
 
-def groups(marked: DataFrame) -> DataFrame:
-    """(digest, root) for the digests of ``marked`` (from ``with_sets``) that share a bucket with another: root is the same for all that
-    similar pairs connect, directly or over others."""
-    nodes = marked.groupBy("digest").agg(F.first("buckets").alias("buckets"), F.first(F.length("members")).alias("size"))
+def groups(docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
+    """(digest, root) for the digests of ``marked`` that share a bucket with another: root is the same for all that similar pairs
+    connect, directly or over others. ``marked`` is ``docs`` (_row, text) with the sketch and without the text."""
+    nodes = marked.groupBy("digest").agg(F.first("buckets").alias("buckets"), F.first("size").alias("size"))
     each = nodes.select("digest", "size", F.explode("buckets").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     left = checkpointed(each.join(shared, "bucket").withColumn("root", F.col("digest")))
-    sets = marked.join(left.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members"))
-    sets = checkpointed(sets)
+    chosen = marked.join(left.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("_row").alias("_row"))
+    sets = checkpointed(members(docs, checkpointed(chosen), words))
     roots, leaders = sets.select("digest", F.col("digest").alias("root")), 1
     rank = F.shiftrightunsigned(F.xxhash64("digest"), 11)  # 53 bits: the same order in all buckets
     while True:

@@ -146,9 +146,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", doc_id:
 def representatives(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of texts whose shingle sets have a Jaccard similarity of 0.8 or more, directly or over others
     (see ``nearsets``): that of the smallest id (any id comes before null), then of the least hash of id and text."""
-    rows = docs.withColumn("_row", F.xxhash64(doc_id, text))
-    marked = checkpointed(nearsets.with_sets(rows.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).drop("text"))
-    rooted = marked.select("_row", "doc_id", "digest").join(nearsets.groups(marked), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    of_row = F.concat_ws("\x1f", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))
+    rows = docs.withColumn("_row", F.unhex(F.substring(F.sha2(of_row, 256), 1, 32)))
+    texts = rows.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = checkpointed(nearsets.with_sketch(texts, words).drop("text"))
+    rooted = marked.select("_row", "doc_id", "digest").join(nearsets.groups(texts, marked, words), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
     return rows.join(kept.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
