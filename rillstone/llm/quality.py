@@ -2,10 +2,11 @@
 
 Four transformed statistics of a document (log of the mean word length; square roots of the share of symbols, of
 repeated lines, of words in repeated windows) are compared with the minimum-covariance-determinant estimate of its
-language and source: from a start at medians and quartile ranges, concentration steps take the mean and covariance of
-the ``KEEP`` share of rows that is nearest by Mahalanobis distance. Rows beyond ``CUTOFF`` of the final estimate are
+language and source: from three starts (medians and quartile ranges; all rows; spatial signs), concentration steps take
+the mean and covariance of the ``KEEP`` share of rows that is nearest by Mahalanobis distance, and of the three results the
+one of least determinant stands. Rows beyond ``CUTOFF`` of it are
 rejected. Every step is a sum by group with map-side partial sums; the nearest share comes from a histogram of the
-logarithm of the distance, so no group is sorted or gathered. What a group is too small for comes from its language,
+logarithm of the distance, whose last bin counts in part, so no group is sorted or gathered. What a group is too small for comes from its language,
 then from all rows. ``FLOOR`` is added to the covariance, for statistics that are 0 in most rows of a group.
 
 Defined results: a null text has no words; it fails the base rules (under 50 words). Null languages and sources are
@@ -113,13 +114,24 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [v * v for v in y])
 
 
-def _with(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
-    return rows.join(F.broadcast(estimates) if small(estimates, BROADCAST_GROUPS) else estimates, "_key", how)
+def _with(rows: DataFrame, estimates: DataFrame, how: str = "inner", on: str | list[str] = "_key") -> DataFrame:
+    return rows.join(F.broadcast(estimates) if small(estimates, BROADCAST_GROUPS) else estimates, on, how)
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates by _key of a table with _x0 to _x3: _key, _n, _m0.., _l00.."""
-    # the start: medians and quartile ranges, from a histogram of each statistic
+def _moments(y: list[Column], prefix: str, weight: Column | None = None) -> list[Column]:
+    """Sums of ``y`` and of the products of its pairs, named by ``prefix``."""
+    w = F.lit(1.0) if weight is None else weight
+    return [*[F.sum(w * v).alias(f"{prefix}{i}") for i, v in enumerate(y)], *[F.sum(w * y[i] * y[j]).alias(f"{prefix}{i}{j}") for i, j in PAIRS]]
+
+
+def _mean_cov(prefix: str, n: str, scale: float = 1.0) -> tuple[list[Column], dict[tuple[int, int], Column]]:
+    mean = [F.col(f"{prefix}{i}") / F.col(n) for i in range(DIMS)]
+    return mean, {(i, j): (F.col(f"{prefix}{i}{j}") / F.col(n) - mean[i] * mean[j]) * scale for i, j in PAIRS}
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates by _key to begin from: 0, medians and quartile ranges; 1, mean and covariance of all rows; 2, medians and
+    the covariance of the directions from them (spatial signs)."""
     bins = rows.select("_key", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(x) * 256).cast("int").alias("bin")) for i, x in enumerate(X)])).alias("_b"))
     bins = bins.groupBy("_key", "_b.dim", "_b.bin").agg(F.count("*").alias("n"))
     upto, all_ = Window.partitionBy("_key", "dim").orderBy("bin"), Window.partitionBy("_key", "dim")
@@ -127,18 +139,37 @@ def fit(rows: DataFrame) -> DataFrame:
     at = lambda i, q: F.min(F.when((F.col("dim") == i) & (F.col("upto") >= q), (F.col("bin") + 0.5) / 256))
     quart = bins.groupBy("_key").agg(*[at(i, q).alias(f"q{i}_{int(100 * q)}") for i in range(DIMS) for q in (0.25, 0.5, 0.75)], F.sum(F.when(F.col("dim") == 0, F.col("n"))).alias("_n"))
     spread = lambda i: F.pow((F.col(f"q{i}_75") - F.col(f"q{i}_25")) / 1.349, F.lit(2.0))
-    estimates = checkpointed(quart.select(*_estimate([F.col(f"q{i}_50") for i in range(DIMS)], {(i, j): spread(i) if i == j else F.lit(0.0) for i, j in PAIRS}, F.col("_key"), F.col("_n"))))
+    quart = checkpointed(quart.select("_key", "_n", *[F.col(f"q{i}_50").alias(f"_q{i}") for i in range(DIMS)], *[spread(i).alias(f"_v{i}") for i in range(DIMS)]))
+
+    sd = [F.sqrt(F.col(f"_v{i}") + FLOOR[i] ** 2) for i in range(DIMS)]
+    u = [(F.col(x) - F.col(f"_q{i}")) / sd[i] for i, x in enumerate(X)]
+    size = F.greatest(F.sqrt(reduce(lambda a, b: a + b, [v * v for v in u])), F.lit(1e-9))
+    same = [f"_q{i}" for i in range(DIMS)] + [f"_v{i}" for i in range(DIMS)]
+    found = _with(rows, quart).select("_key", "_n", *same, *X, *[(v / size).alias(f"_u{i}") for i, v in enumerate(u)])
+    found = checkpointed(found.groupBy("_key", "_n").agg(*[F.first(c).alias(c) for c in same], *_moments([F.col(x) for x in X], "_s"), *_moments([F.col(f"_u{i}") for i in range(DIMS)], "_t")))
+    medians, spreads = [F.col(f"_q{i}") for i in range(DIMS)], {(i, j): F.col(f"_v{i}") if i == j else F.lit(0.0) for i, j in PAIRS}
+    signs = {(i, j): DIMS * F.col(f"_t{i}{j}") / F.col("_n") * sd[i] * sd[j] for i, j in PAIRS}
+    starts = [(medians, spreads), _mean_cov("_s", "_n"), (medians, signs)]
+    return reduce(DataFrame.union, [found.select(*_estimate(*start, F.col("_key"), F.lit(k).alias("_start"), F.col("_n"))) for k, start in enumerate(starts)])
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """Minimum-covariance-determinant estimates by _key of a table with _x0 to _x3: _key, _n, _m0.., _l00.."""
+    own = ["_key", "_start"]
+    estimates = checkpointed(_starts(rows))
     for step in range(STEPS):
-        near = _with(rows, estimates).select("_key", "_n", *X, F.floor(32 * F.log2(_distance() + 2.0**-16)).cast("int").alias("_bin"))
-        counts = near.groupBy("_key", "_bin").agg(F.count("*").alias("n"), F.first("_n").alias("_n"))
-        reach = counts.select("_key", "_bin", "_n", F.sum("n").over(Window.partitionBy("_key").orderBy("_bin")).alias("upto")).where(F.col("upto") >= KEEP * F.col("_n"))
-        reach = checkpointed(reach.groupBy("_key").agg(F.min("_bin").alias("_reach")))
-        chosen = _with(near, reach).where("_bin <= _reach")
-        sums = chosen.groupBy("_key", "_n").agg(F.count("*").alias("_c"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"_s{i}{j}") for i, j in PAIRS])
-        mean = [F.col(f"_s{i}") / F.col("_c") for i in range(DIMS)]
-        scale = _consistency() if step == STEPS - 1 else 1.0
-        estimates = checkpointed(sums.select(*_estimate(mean, {(i, j): (F.col(f"_s{i}{j}") / F.col("_c") - mean[i] * mean[j]) * scale for i, j in PAIRS}, F.col("_key"), F.col("_n"))))
-    return estimates
+        near = _with(rows, estimates).select(*own, "_n", *X, F.floor(32 * F.log2(_distance() + 2.0**-16)).cast("int").alias("_bin"))
+        counts = near.groupBy(*own, "_bin").agg(F.count("*").alias("n"), F.first("_n").alias("_n"))
+        reach = counts.select(*own, "_bin", "n", "_n", F.sum("n").over(Window.partitionBy(*own).orderBy("_bin")).alias("upto")).where(F.col("upto") >= KEEP * F.col("_n"))
+        # the last bin counts with the weight that makes the sum of weights the share itself
+        reach = reach.groupBy(*own).agg(F.min(F.struct("_bin", (1 - (F.col("upto") - KEEP * F.col("_n")) / F.col("n")).alias("part"))).alias("_r"))
+        reach = checkpointed(reach.select(*own, F.col("_r._bin").alias("_reach"), F.col("_r.part").alias("_part")))
+        chosen = _with(near, reach, on=own).where("_bin <= _reach").withColumn("_w", F.when(F.col("_bin") < F.col("_reach"), 1.0).otherwise(F.col("_part")))
+        sums = chosen.groupBy(*own, "_n").agg(F.sum("_w").alias("_c"), *_moments([F.col(x) for x in X], "_s", F.col("_w")))
+        estimates = checkpointed(sums.select(*_estimate(*_mean_cov("_s", "_c", _consistency() if step == STEPS - 1 else 1.0), *map(F.col, own), F.col("_n"))))
+    det = reduce(lambda a, b: a + b, [F.log(F.col(f"_l{i}{i}")) for i in range(DIMS)])
+    best = estimates.groupBy("_key").agg(F.min_by(F.struct(*[c for c in estimates.columns if c not in own]), F.struct(det, "_start")).alias("_best"))
+    return best.select("_key", "_best.*")
 
 
 def _keys(lang: str, source: str) -> list[Column]:

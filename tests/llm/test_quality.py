@@ -72,3 +72,40 @@ def test_estimates_match_a_direct_computation(spark, shift):
     clean = x[400:]
     assert np.abs(mean - clean.mean(axis=0)).max() < 0.05
     assert np.abs(cov - np.cov(clean.T)).max() < 0.03
+
+
+def concentrate(x, mean, cov, steps):
+    """Concentration steps with the floor on the covariance, by sorting."""
+    import numpy as np
+
+    floor, h = np.diag(np.array(quality.FLOOR) ** 2), int(quality.KEEP * len(x))
+    for _ in range(steps):
+        y = x - mean
+        near = x[np.argsort((y @ np.linalg.inv(cov + floor) * y).sum(axis=1), kind="stable")[:h]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True)
+    return np.linalg.slogdet(cov + floor)[1], mean, cov
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdict_matches_a_search_from_many_random_starts(spark, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(1, 0.3, (1200, 4)) @ np.array([[1, 0.4, 0, 0], [0, 1, 0, 0.3], [0, 0, 1, 0.2], [0, 0, 0, 1]])
+    x[:240] = x[:240] * 0.3 + np.array([[3, 0, 2, 0], [0, 4, 0, 0], [3, 3, 3, 3]])[seed - 1]
+    x[240:300, seed] += rng.normal(0, 3, 60)
+    rows = spark.createDataFrame([("k", *map(float, r)) for r in x], "_key string, _x0 double, _x1 double, _x2 double, _x3 double")
+    got = quality._with(rows, quality.fit(rows)).select(*quality.X, quality._distance().alias("d")).collect()
+
+    tries = []
+    for _ in range(300):
+        few = x[rng.choice(len(x), 6, replace=False)]
+        tries.append(concentrate(x, few.mean(axis=0), np.cov(few.T), 12))
+    _, mean, cov = min(tries, key=lambda t: t[0])
+    cov = cov * quality._consistency() + np.diag(np.array(quality.FLOOR) ** 2)
+    y = np.array([r[:4] for r in got]) - mean
+    want, d = (y @ np.linalg.inv(cov) * y).sum(axis=1), np.array([r.d for r in got])
+    clear = np.abs(want / quality.CUTOFF - 1) > 0.1
+    assert clear.mean() > 0.95
+    assert ((want > quality.CUTOFF) == (d > quality.CUTOFF))[clear].all()
+    assert np.abs(d / want - 1).max() < 0.1
