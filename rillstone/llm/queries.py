@@ -15,4 +15,4 @@ from .suffix import op3_suffix_dedup
 from .tokenfile import op5_token_file
 
 QUERIES = {"op1_order_minhash": op1_order_minhash, "op2_best_fit_packing": op2_best_fit_packing, "op3_suffix_dedup": op3_suffix_dedup, "op4_source_mixing": op4_source_mixing, "op5_token_file": op5_token_file, "op6_language_id": op6_language_id, "op7_simhash": op7_simhash, "op8_pii_surrogates": op8_pii_surrogates, "op9_quality_classifier": op9_quality_classifier, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": oracles.SUFFIX_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_quality_rules": oracles.QUALITY_RULES}
