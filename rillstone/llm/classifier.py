@@ -1,8 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 Document evidence: a logistic regression on hashed 1- to 3-grams of characters and a few ratios of the whole text, fitted
-on the driver to a bounded sample of labelled documents (at most about ``SAMPLE`` rows, chosen by a hash of doc_id, whose
-sparse vectors alone are collected). Site evidence: sums by host and by path of the labels, and of the predicted
+on the driver to a bounded sample of labelled documents (about ``SAMPLE`` at most, chosen by a hash of doc_id, one row of an id,
+that of the greatest text; their sparse vectors alone are collected). Site evidence: sums by host and by path of the labels, and of the predicted
 probabilities where there is no label. A host's rate is a beta posterior around the global rate, a path's around its
 host's; the priors' strengths are moment estimates of the spread between hosts and between the paths of a host, so sparse
 sites shrink to their parents. A document's own evidence is taken out of its site's sums before the two are combined as
@@ -75,7 +75,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     """Weights (None without labels of both classes) and the sample's share of good documents. ``labels`` has doc_id and y."""
     n = labels.count()
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30))
-    drawn = docs.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.struct("text", "y")).alias("_row")).select("_row.*")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,8 +5,8 @@ machine for each pair of its languages votes. Features are hashed 1- to 3-grams
 square roots of counts, scaled to length one.
 
 The machines are fitted on the driver to a bounded sample: at most ``total`` rows, equally many of each language as far
-as there are, chosen by a hash of doc_id; only their sparse feature vectors are collected. Counts by language and the
-predictions cover all rows.
+as there are, chosen by a hash of doc_id, one row of an id (the least text); only their sparse feature vectors are
+collected. Learned are the ``LANGUAGES`` most frequent values of lang. Predictions cover all rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. Rows with null doc_id, null text or
 null lang are not learned from; held_out is false for a null doc_id. With a single learned language every text with a
@@ -42,6 +42,8 @@ FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 DIMENSIONS = 1 << 12
 #: The bound of the sample that is learned from, in rows.
 TOTAL = 6000
+#: The bound of the number of languages that are learned.
+LANGUAGES = 500
 #: One document in so many is held out of learning, and the remainder that is.
 PARTS, HELD_OUT = 4, 2
 
@@ -131,12 +133,14 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, total: int = TOTAL) -> Model:
     """Fits the machines to rows of ``docs`` (doc_id, text, lang) that are not held out; see above for the bound."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model([], [], np.zeros((0, DIMENSIONS + 1), np.float32), {})
     each = max(total // len(counts), 1)
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.1 * each / n))])
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select(F.xxhash64("doc_id").alias("at"), "lang", "text")
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # a repeated id draws all its rows: one of them is learned from
+    drawn = drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("_row")).select(F.xxhash64("doc_id").alias("at"), "_row.*")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,8 +3,8 @@
 Every document becomes ids and an end id; only documents longer than a sequence are cut, all pieces but the first being
 full. Packing works on the number of pieces of each length, a table of at most ``capacity`` rows whatever the corpus:
 from the longest length down, each piece's gap is filled exactly by one piece, by two or by three whose lengths sum to
-it, as many times as the counts allow; what is left is packed by best fit in descending order. The plan says how many
-sequences have which lengths. A piece finds its place by its number among the pieces of its length.
+it, as many times as the counts allow; what is left is packed by best fit in descending order. An index of the sums of
+one, two and three available lengths is built once and follows the counts. The plan says how many sequences have which lengths. A piece finds its place by its number among the pieces of its length.
 
 Documents may come in an order, such as that of a mixture. Then the kinds of sequences in the plan are interleaved evenly, and
 each length hands out its pieces in that order, so a prefix of the sequences holds about a prefix of the documents.
@@ -62,6 +62,72 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     return chosen.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
+class Sums:
+    """Which sums one, two or three of the available pieces have: ``pairs[s]`` and ``triples[s]`` count the combinations of lengths with the sum s.
+
+    A length counts as there once, twice, or three times and more. Each of its three steps down takes its combinations out of the
+    tables once, by one addition of arrays, so the index is built and kept up by at most 3 * capacity of them.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.capacity = len(counts) - 1
+        self.count = np.zeros_like(counts)
+        self.pairs, self.triples = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        for length in np.flatnonzero(counts).tolist():
+            self.set(length, int(counts[length]))
+
+    def set(self, x: int, n: int) -> None:
+        """Makes ``n`` pieces of length x available."""
+        old, new = min(int(self.count[x]), 3), min(n, 3)
+        for level in range(old, new):  # one more
+            self._change(x, level + 1, 1)
+        for level in range(old, new, -1):  # one less
+            self._change(x, level, -1)
+        self.count[x] = n
+
+    def _change(self, x: int, level: int, sign: int) -> None:
+        """Adds or takes out the combinations that hold x ``level`` times."""
+        there = self.count > 0
+        there[x] = False
+        if level == 1:
+            # ``pairs`` without x: those that hold it are not in yet, or go first
+            self.pairs[x:] -= there[: self.capacity + 1 - x] * (sign < 0)
+            self.triples[x:] += sign * self.pairs[: self.capacity + 1 - x]
+            self.pairs[x:] += there[: self.capacity + 1 - x] * (sign > 0)
+        elif level == 2 and 2 * x <= self.capacity:
+            self.pairs[2 * x] += sign
+            self.triples[2 * x :] += sign * there[: self.capacity + 1 - 2 * x]
+        elif level == 3 and 3 * x <= self.capacity:
+            self.triples[3 * x] += sign
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        """The two available lengths of this sum of which the longer is longest."""
+        if total < 2 or not self.pairs[total]:
+            return None
+        a = np.arange(1, total // 2 + 1)
+        both = (self.count[a] > 0) & (self.count[total - a] > 0) & ((2 * a < total) | (self.count[a] > 1))
+        x = int(a[both.argmax()])
+        return x, total - x
+
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths of this sum, as few as there are; of triples one with the longest length that fits."""
+        if self.count[total]:
+            return (total,)
+        if found := self.pair(total):
+            return found
+        if not self.triples[total]:
+            return None
+        x = np.arange(total - 2, 0, -1)
+        for one in x[(self.count[x] > 0) & (self.pairs[total - x] > 0)].tolist():
+            n = int(self.count[one])
+            self.set(one, n - 1)
+            found = self.pair(total - one)
+            self.set(one, n)
+            if found:
+                return one, *found
+        raise AssertionError("a counted triple is there")
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, number of such sequences); uses every counted piece once."""
     c = np.zeros(capacity + 1, np.int64)
@@ -69,46 +135,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
         c[length] += n
     out: list[tuple[list[int], int]] = []
     residual = np.zeros(capacity + 1, np.int64)
-
-    def take(lengths: list[int]) -> None:
-        kinds, uses = np.unique(lengths, return_counts=True)
-        m = int((c[kinds] // uses).min())
-        c[kinds] -= uses * m
-        out.append((lengths, m))
-
-    def fits(lengths: tuple[int, ...]) -> bool:
-        return all(c[x] >= lengths.count(x) for x in lengths)
-
-    def pair(total: int, others: tuple[int, ...]) -> tuple[int, int] | None:
-        """The two lengths of this sum with the largest longer one, beside pieces already chosen."""
-        if total < 2:
-            return None
-        a = np.arange(total // 2, 0, -1)
-        for x in a[(c[a] > 0) & (c[total - a] > 0)][::-1]:
-            if fits((*others, int(x), total - int(x))):
-                return int(x), total - int(x)
-        return None
-
-    for longest in range(capacity, 0, -1):
-        while c[longest]:
-            gap = capacity - longest
-            if gap == 0:
-                take([longest])
-                continue
-            if gap <= longest and fits((longest, gap)):
-                take([longest, gap])
-                continue
-            if found := pair(gap, (longest,)):
-                take([longest, *found])
+    out += [([capacity], int(c[capacity]))] * bool(c[capacity])
+    c[capacity] = 0
+    index = Sums(c)
+    for longest in range(capacity - 1, 0, -1):
+        while n := int(index.count[longest]):
+            index.set(longest, n - 1)  # the piece whose gap is to be filled
+            found = index.exact(capacity - longest)
+            index.set(longest, n)
+            if found is None:
+                residual[longest] = n
+                index.set(longest, 0)
                 continue
-            there = np.flatnonzero(c[: min(gap, longest + 1)] > 0)[::-1]
-            sums = np.convolve(c > 0, c > 0) > 0.5 if len(there) else c > 0  # which sums two lengths have
-            for x in there.tolist():
-                if gap - x >= 2 and sums[gap - x] and fits((longest, x)) and (found := pair(gap - x, (longest, x))):
-                    take([longest, x, *found])
-                    break
-            else:
-                residual[longest], c[longest] = c[longest], 0
+            kinds, uses = np.unique([longest, *found], return_counts=True)
+            m = int((index.count[kinds] // uses).min())
+            for x, u in zip(kinds.tolist(), uses.tolist(), strict=True):
+                index.set(x, int(index.count[x]) - u * m)
+            out.append(([longest, *found], m))
 
     open_: dict[int, list[tuple[list[int], int]]] = {}  # by gap
     for length in range(capacity, 0, -1):

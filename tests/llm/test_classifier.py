@@ -58,3 +58,12 @@ def test_edge_cases(spark):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert len(classifier.classify(docs, labels.where("false")).collect()) == docs.count()
     assert classifier.classify(docs.where("false"), labels).count() == 0
+
+
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('some words ', id) AS text")
+    labels = spark.createDataFrame([(0, 1.0), (1, 0.0)], "doc_id long, y double")
+    fitted = []
+    monkeypatch.setattr(classifier, "fit_logistic", lambda x, y: fitted.append(y))
+    classifier.learn(docs, labels)
+    assert sorted(fitted[0].tolist()) == [0.0, 1.0]

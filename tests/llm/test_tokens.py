@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -139,3 +140,25 @@ def test_perfect_hash_is_minimal():
     assert sorted(made.find(keys).tolist()) == list(range(len(keys)))
     assert (made.find(np.arange(5000)) >= 0).sum() <= 1
     assert len(made.sizes) < 40
+
+
+def test_index_of_sums_follows_the_counts():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        capacity = int(rng.integers(3, 30))
+        counts = np.where(rng.random(capacity + 1) < 0.4, rng.integers(0, 5, capacity + 1), 0)
+        counts[0] = 0
+        index = packing.Sums(counts)
+        for _ in range(15):
+            index.set(int(rng.integers(1, capacity + 1)), int(rng.integers(0, 5)))
+        found = {1: [0] * (capacity + 1), 2: [0] * (capacity + 1), 3: [0] * (capacity + 1)}
+        for k, sums in found.items():
+            for x in combinations_with_replacement(range(1, capacity + 1), k):
+                if sum(x) <= capacity and all(index.count[y] >= x.count(y) for y in x):
+                    sums[sum(x)] += 1
+        assert index.pairs.tolist() == found[2] and index.triples.tolist() == found[3]
+        for total in range(1, capacity + 1):
+            got = index.exact(total)
+            fewest = next((k for k in (1, 2, 3) if found[k][total]), None)
+            assert (got and len(got)) == fewest
+            assert got is None or (sum(got) == total and all(index.count[y] >= got.count(y) for y in got))
