@@ -4,9 +4,9 @@ A linear support vector machine for each language family against the rest picks
 machine for each pair of its languages votes. Features are hashed 1- to 3-grams of letters over the whole text, as
 square roots of counts, scaled to length one.
 
-The machines are fitted on the driver to a bounded sample: at most ``total`` rows, equally many of each language as far
-as there are, chosen by a hash of doc_id, one row of an id (the least text); only their sparse feature vectors are
-collected. Learned are the ``LANGUAGES`` most frequent values of lang. Predictions cover all rows.
+The machines are fitted in one task to a bounded sample: at most ``total`` rows, equally many of each language as far
+as there are, chosen by a hash of doc_id, one row of an id (the least text); only their sparse feature vectors go
+there. Learned are the ``LANGUAGES`` most frequent values of lang. Predictions cover all rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. Rows with null doc_id, null text or
 null lang are not learned from; held_out is false for a null doc_id. With a single learned language every text with a
@@ -16,6 +16,7 @@ for those named lang_pred and score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -130,35 +131,45 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % PARTS == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, total: int = TOTAL) -> Model:
-    """Fits the machines to rows of ``docs`` (doc_id, text, lang) that are not held out; see above for the bound."""
+def drawn(docs: DataFrame, total: int = TOTAL) -> tuple[DataFrame, int]:
+    """The sample (at, lang, text), drawn a little too large, and how many rows of each language to keep."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return Model([], [], np.zeros((0, DIMENSIONS + 1), np.float32), {})
-    each = max(total // len(counts), 1)
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.1 * each / n))])
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    each = max(total // max(len(counts), 1), 1)
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.1 * each / n))]) if counts else F.create_map().cast("map<string,double>")
+    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     # a repeated id draws all its rows: one of them is learned from
-    drawn = drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("_row")).select(F.xxhash64("doc_id").alias("at"), "_row.*")
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(a, lang, v) for a, lang, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if (v := features(t)) is not None]
-            at = [np.flatnonzero(v).astype("<u2") for _, _, v in found]
-            yield pa.RecordBatch.from_pydict({"at": pa.array([a for a, _, _ in found], pa.int64()), "lang": pa.array([x for _, x, _ in found], pa.string()), "i": pa.array([i.tobytes() for i in at], pa.binary()), "v": pa.array([v[i].tobytes() for i, (_, _, v) in zip(at, found, strict=True)], pa.binary())})
-
-    seen: dict[str, int] = dict.fromkeys(counts, 0)
-    labels, rows = [], []
-    for r in sorted(drawn.mapInArrow(vectors, "at long, lang string, i binary, v binary").collect(), key=lambda r: (r["at"], r["lang"], bytes(r["v"]))):
-        if seen[r["lang"]] < each:
-            seen[r["lang"]] += 1
-            labels.append(r["lang"])
-            rows.append((np.frombuffer(r["i"], "<u2"), np.frombuffer(r["v"], "<f4")))
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for k, (i, v) in enumerate(rows):
-        x[k, i] = v
-    return Model.fit(x, labels)
+    return some.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("_row")).select(F.xxhash64("doc_id").alias("at"), "_row.*"), each
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(a, lang, v) for a, lang, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if (v := features(t)) is not None]
+        at = [np.flatnonzero(v).astype("<u2") for _, _, v in found]
+        yield pa.RecordBatch.from_pydict({"at": pa.array([a for a, _, _ in found], pa.int64()), "lang": pa.array([x for _, x, _ in found], pa.string()), "i": pa.array([i.tobytes() for i in at], pa.binary()), "v": pa.array([v[i].tobytes() for i, (_, _, v) in zip(at, found, strict=True)], pa.binary())})
+
+
+def learn(docs: DataFrame, total: int = TOTAL) -> Model:
+    """Fits the machines to rows of ``docs`` (doc_id, text, lang) that are not held out; see above for the bound. One task fits them, and only the machines go to the driver."""
+    sample, each = drawn(docs, total)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        labels, kept = [], []
+        for _, lang, v, i in sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("at", "lang", "v", "i")), strict=True)):
+            seen[lang] = seen.get(lang, 0) + 1
+            if seen[lang] <= each:
+                labels.append(lang)
+                kept.append((i, v))
+        x = np.zeros((len(kept), DIMENSIONS), np.float32)
+        for k, (i, v) in enumerate(kept):
+            x[k, np.frombuffer(i, "<u2")] = np.frombuffer(v, "<f4")
+        del kept
+        if labels:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(Model.fit(x, labels))], pa.binary())})
+
+    found = sample.mapInArrow(_vectors, "at long, lang string, i binary, v binary").repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else Model([], [], np.zeros((0, DIMENSIONS + 1), np.float32), {})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
